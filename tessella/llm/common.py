@@ -53,3 +53,13 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def row_keys(doc_id: Column, text: Column) -> list[Column]:
+    """_k1 and _k2, 128 bits that name a row by its id and text, without nulls; rows that repeat both share them."""
+    return [F.xxhash64(F.lit(1), doc_id, text).alias("_k1"), F.xxhash64(F.lit(2), text, doc_id).alias("_k2")]
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that names of ours can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
