@@ -39,4 +39,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
 FROM ruled LEFT JOIN v USING (source)
 """
 
-ORACLES = {"op1_quality_rules": OP1}
+OP4 = """
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 12 AS cell FROM documents),
+levels AS (
+  SELECT l.depth, cell >> (20 - l.depth) AS prefix, sum(n_bytes) AS bytes, count(*) AS docs
+  FROM d, (SELECT unnest(range(0, 21))::INT AS depth) l GROUP BY ALL),
+leaf AS (
+  SELECT b.* FROM levels b LEFT JOIN levels p ON p.depth = b.depth - 1 AND p.prefix = b.prefix >> 1
+  WHERE (b.bytes <= 4194304 OR b.depth = 20) AND (b.depth = 0 OR p.bytes > 4194304))
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard,
+  depth AS shard_depth, bytes::BIGINT AS shard_bytes, docs AS shard_docs
+FROM d JOIN leaf ON leaf.prefix = d.cell >> (20 - leaf.depth)
+"""
+
+OP6 = r"""
+WITH r AS (
+  SELECT 2 * page_id AS record_id, url, 10 * page_id AS ts, false AS revisit, md5(html) AS etag, (10 * page_id)::VARCHAR AS date,
+    octet_length(encode(html))::VARCHAR AS len, html FROM pages
+  UNION ALL
+  SELECT 2 * page_id + 1, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again#top',
+    10 * page_id + CASE WHEN page_id % 14 = 0 THEN -5 ELSE 5003 END, true, CASE WHEN page_id % 10 = 0 THEN md5(html || 'x') ELSE md5(html) END,
+    (10 * page_id + 5003)::VARCHAR, '0', NULL FROM pages WHERE page_id % 2 = 0),
+u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM r),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/index\.html?$', ''), '/+$', '') AS base,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params FROM u),
+k AS (SELECT *, base || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canon FROM c),
+w AS (
+  SELECT *, last_value(CASE WHEN NOT revisit THEN record_id END IGNORE NULLS) OVER (
+    PARTITION BY canon ORDER BY ts, revisit DESC, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS response_id FROM k),
+j AS (
+  SELECT w.record_id, w.canon AS canonical_url, w.response_id, w.etag, w.date, w.len, o.etag AS o_etag, o.len AS o_len, o.html,
+    CASE WHEN w.response_id IS NULL THEN 'no_response' WHEN w.etag = o.etag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM w LEFT JOIN k o ON o.record_id = w.response_id WHERE w.revisit)
+SELECT record_id, canonical_url, outcome, response_id,
+  'cache-control=max-age=60;content-length=' || CASE WHEN outcome = 'resolved' THEN o_len ELSE len END || ';date=' || date || ';etag=' || etag AS headers,
+  CASE WHEN outcome = 'resolved' THEN octet_length(encode(html)) END::BIGINT AS payload_bytes, CASE WHEN outcome = 'resolved' THEN md5(html) END AS payload_md5
+FROM j
+"""
+
+OP7 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{W}') AS tok FROM l),
+f AS (SELECT *, [len(tok)::VARCHAR] || tok[1:3] AS leaf FROM m WHERE len(tok) >= 3),
+t AS (SELECT leaf, tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM f GROUP BY ALL),
+rest AS (SELECT * FROM t WHERE docs < 3),
+several AS (SELECT * FROM rest WHERE leaf IN (SELECT leaf FROM rest GROUP BY leaf HAVING sum(docs) >= 3 AND count(*) > 1)),
+tokens AS (SELECT leaf, tok, docs, unnest(tok) AS token, generate_subscripts(tok, 1) AS place FROM several),
+fixed AS (SELECT leaf, place, token, true AS fixed FROM tokens GROUP BY ALL HAVING sum(docs) >= 3),
+general AS (
+  SELECT leaf, tok, list(CASE WHEN fixed AND token <> '<*>' THEN token END ORDER BY place) AS grp
+  FROM tokens LEFT JOIN fixed USING (leaf, place, token) GROUP BY leaf, tok
+  HAVING 100 * count(CASE WHEN fixed AND token <> '<*>' THEN 1 END) >= 70 * count(*)),
+groups AS (
+  SELECT leaf, grp, min(first) AS first FROM general JOIN rest USING (leaf, tok) GROUP BY leaf, grp HAVING sum(docs) >= 3),
+again AS (
+  SELECT tok, first FROM t WHERE docs >= 3 UNION ALL SELECT tok, groups.first FROM general JOIN groups USING (leaf, grp)),
+lost AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM f JOIN again USING (tok) WHERE doc_id <> first GROUP BY doc_id)
+SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text
+FROM documents LEFT JOIN lost USING (doc_id)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_warc_revisits": OP6, "op7_line_dedup": OP7}
