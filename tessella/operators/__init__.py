@@ -1 +1 @@
-
+"""Relational steps of columnising and encoding records."""

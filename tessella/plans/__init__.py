@@ -1 +1 @@
-
+"""Reports over columns."""

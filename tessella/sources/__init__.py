@@ -1 +1 @@
-
+"""Readers of record text."""
