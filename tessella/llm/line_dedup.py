@@ -1,5 +1,5 @@
-"""Log-template tree: lines fall into leaves by token count and leading tokens, fields that vary within a leaf become
-wildcards, and templates that recur across documents stay in the first document only."""
+"""Log-template tree: lines fall into leaves by token count and leading tokens, fields that vary become wildcards, and
+templates that recur across documents stay in the first document only."""
 
 from __future__ import annotations
 
@@ -10,58 +10,60 @@ from .common import SPACES, materialize, packed, row_keys
 
 #: Tree depth below the token count: leading tokens that lines of a leaf share.
 LEADING = 3
-#: Documents that make a template recurring, tokens that a line needs to have one, and the percentage of its tokens
-#: that a generalised template must fix.
-MIN_DOCS, MIN_TOKENS, FIXED = 3, 3, 70
+#: Documents that make a template recurring, and tokens that a line needs to have one.
+MIN_DOCS, MIN_TOKENS = 3, 3
+#: Lines of a leaf are also alike if they differ in one of this many stretches of the tokens below the leaf only, which
+#: then is a wildcard; and tokens that a line needs for that.
+STRETCHES, MIN_GENERAL = 4, 8
 WILD = "<*>"
 
 
 def masked_tokens(line: Column) -> Column:
     """The line's tokens, those with a digit as wildcards."""
     clean = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return F.split(F.regexp_replace(clean, F.lit(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"), F.lit(WILD)), SPACES)
+    masked = F.regexp_replace(clean, F.lit(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"), F.lit(WILD))
+    return F.split(F.when(clean.rlike("[0-9]"), masked).otherwise(clean), SPACES)
 
 
 def lines(docs: DataFrame, keep: list, text: Column) -> DataFrame:
-    """keep, pos, tokens for each line of MIN_TOKENS tokens or more."""
+    """keep, pos, template, leaf, general (hashes) for each line of MIN_TOKENS tokens or more: template is the whole
+    masked line, leaf its place in the tree, and general one hash for each stretch that may vary."""
     own = docs.select(*keep, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
     names = [c for c in own.columns if c not in ("pos", "line")]
-    return own.select(*names, "pos", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    own = own.select(*names, "pos", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    n, tokens = F.size("tokens"), F.col("tokens")
+    end = lambda k: F.lit(LEADING) + F.floor((n - LEADING) * k / STRETCHES).cast("int")
+    general = F.array(*[F.xxhash64(F.lit(k), n, F.slice(tokens, F.lit(1), end(k)), F.slice(tokens, end(k + 1) + 1, n)) for k in range(STRETCHES)])
+    return own.select(
+        *names, "pos", F.xxhash64("tokens").alias("template"), F.xxhash64(n, F.slice(tokens, 1, LEADING)).alias("leaf"),
+        F.when(n >= MIN_GENERAL, general).otherwise(F.array().cast("array<bigint>")).alias("general"),
+    )
 
 
-def templates(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """template (hash of a line's masked tokens), group and first (the first document's key) of all that recur, from
-    found(doc, pos, leaf, template); texts has the tokens of the same lines, which few templates are asked for."""
+def templates(found: DataFrame) -> DataFrame:
+    """template and first (the first document's key) of all that recur in found(doc, pos, template, leaf, general), by
+    themselves or with others of their leaf under a wildcard. For the latter a document counts once for each of its
+    templates."""
     seen = found.groupBy("template", "leaf", "doc").agg(F.lit(1).alias("one"))
     t = materialize(seen.groupBy("template", "leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first")))
-    recurs = t.where(F.col("docs") >= MIN_DOCS).select("template", F.col("template").alias("group"), "first")
+    recurs = t.where(F.col("docs") >= MIN_DOCS).select("template", "first")
     rest = t.where(F.col("docs") < MIN_DOCS)
-    # leaves where templates that don't recur by themselves could do so together
     leaves = rest.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("n")).where((F.col("d") >= MIN_DOCS) & (F.col("n") > 1)).select("leaf")
-    several = materialize(rest.join(leaves, "leaf", "left_semi"))
-    texts = texts.select("template", "tokens").join(several.select("template"), "template", "left_semi").groupBy("template").agg(F.first("tokens").alias("tokens"))
-    tokens = materialize(several.join(texts, "template").select("template", "leaf", "docs", F.posexplode("tokens").alias("at", "token")))
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("d")).where(F.col("d") >= MIN_DOCS).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    part = F.when(F.col("fixed") & (F.col("token") != WILD), F.xxhash64("at", "token")).otherwise(F.xxhash64("at"))
-    general = (
-        tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("template", "leaf")
-        .agg(F.bit_xor(part).alias("group"), F.count("*").alias("n"), F.count(F.when(F.col("fixed") & (F.col("token") != WILD), 1)).alias("f"))
-        .where(100 * F.col("f") >= FIXED * F.col("n")).select("template", "group")
-    )
-    together = materialize(general.join(rest, "template"))
-    groups = together.groupBy("leaf", "group").agg(F.sum("docs").alias("d"), F.min("first").alias("first")).where(F.col("d") >= MIN_DOCS)
-    return recurs.unionByName(together.drop("first", "docs").join(groups, ["leaf", "group"]).select("template", "group", "first"))
+    several = materialize(rest.join(materialize(leaves), "leaf", "left_semi"))
+    hashes = found.select("template", "general").where(F.size("general") > 0).join(several.select("template"), "template", "left_semi").dropDuplicates(["template"])
+    each = materialize(several.join(hashes, "template").select("template", "docs", "first", F.explode("general").alias("general")))
+    groups = each.groupBy("general").agg(F.sum("docs").alias("d"), F.count("*").alias("n"), F.min("first").alias("first"))
+    groups = groups.where((F.col("d") >= MIN_DOCS) & (F.col("n") > 1)).select("general", "first")
+    together = each.select("template", "general").join(groups, "general").groupBy("template").agg(F.min("first").alias("first"))
+    return recurs.unionByName(together)
 
 
 def _dropped(keyed: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """_k1, _k2 and drop: places of the lines that go, for the documents that have any."""
     doc = F.struct(doc_id.alias("id"), "_k1", "_k2").alias("doc")
-    found = lines(keyed, [doc], text).select(
-        "doc", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), "tokens"
-    )
-    texts, found = found, materialize(found.drop("tokens"))
-    again = materialize(templates(found, texts))
-    lost = found.select("doc", "pos", "template").join(again.select("template", "first"), "template").where(F.col("doc") != F.col("first"))
+    found = materialize(lines(keyed, [doc], text))
+    again = materialize(templates(found))
+    lost = found.select("doc", "pos", "template").join(again, "template").where(F.col("doc") != F.col("first"))
     return lost.groupBy("doc._k1", "doc._k2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
@@ -80,7 +82,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row per input row: doc_id, n_lines, n_dropped, text without the lines whose template recurs in MIN_DOCS
     documents or more. The first document (smallest id, nulls first) keeps its lines, so nothing is lost altogether.
 
-    A null text stays null and has one empty line. Lines of fewer than MIN_TOKENS tokens stay. Rows that repeat id and
+    A null text stays null and has one empty line. Lines of fewer than MIN_TOKENS tokens stay. A
+    line that is alone in its document may go for an earlier line that only differs in a wildcard. Rows that repeat id and
     text are one document and are treated alike. A text of which every line goes is empty. An empty table gives an
     empty result; other columns are left out."""
     keyed = docs.select(*row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).alias("_row"))

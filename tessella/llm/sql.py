@@ -88,16 +88,11 @@ f AS (SELECT *, [len(tok)::VARCHAR] || tok[1:3] AS leaf FROM m WHERE len(tok) >=
 t AS (SELECT leaf, tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM f GROUP BY ALL),
 rest AS (SELECT * FROM t WHERE docs < 3),
 several AS (SELECT * FROM rest WHERE leaf IN (SELECT leaf FROM rest GROUP BY leaf HAVING sum(docs) >= 3 AND count(*) > 1)),
-tokens AS (SELECT leaf, tok, docs, unnest(tok) AS token, generate_subscripts(tok, 1) AS place FROM several),
-fixed AS (SELECT leaf, place, token, true AS fixed FROM tokens GROUP BY ALL HAVING sum(docs) >= 3),
-general AS (
-  SELECT leaf, tok, list(CASE WHEN fixed AND token <> '<*>' THEN token END ORDER BY place) AS grp
-  FROM tokens LEFT JOIN fixed USING (leaf, place, token) GROUP BY leaf, tok
-  HAVING 100 * count(CASE WHEN fixed AND token <> '<*>' THEN 1 END) >= 70 * count(*)),
-groups AS (
-  SELECT leaf, grp, min(first) AS first FROM general JOIN rest USING (leaf, tok) GROUP BY leaf, grp HAVING sum(docs) >= 3),
+parts AS (SELECT *, k, 3 + ((len(tok) - 3) * k) // 4 AS lo, 3 + ((len(tok) - 3) * (k + 1)) // 4 AS hi FROM several, (SELECT unnest(range(0, 4)) AS k) WHERE len(tok) >= 8),
+general AS (SELECT tok, docs, first, [k::VARCHAR, len(tok)::VARCHAR] || tok[1:lo] || ['|'] || tok[hi + 1:] AS grp FROM parts),
+groups AS (SELECT grp, min(first) AS first FROM general GROUP BY grp HAVING sum(docs) >= 3 AND count(*) > 1),
 again AS (
-  SELECT tok, first FROM t WHERE docs >= 3 UNION ALL SELECT tok, groups.first FROM general JOIN groups USING (leaf, grp)),
+  SELECT tok, first FROM t WHERE docs >= 3 UNION ALL SELECT tok, min(groups.first) FROM general JOIN groups USING (grp) GROUP BY tok),
 lost AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM f JOIN again USING (tok) WHERE doc_id <> first GROUP BY doc_id)
 SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text
