@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import materialize, packed, row_keys
 
 SEED = 3
+#: A seed is rare if the documents that hold it are at most this many times those of the item's median seed and one.
+COMMON = 8
 #: Alignment points; a score is the points as a share of those that a verbatim copy gets.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
@@ -85,13 +87,13 @@ class Items:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Of each item's seeds the rarer half, by the number of documents that hold them, stays: every item keeps
-        seeds, also one that very many documents hold."""
-        order = np.lexsort((self.at, df[self.seed_of], self.item))
+        """Seeds that far more documents hold than the item's median seed go, as words that every text has. The rule is
+        relative, so an item that very many documents hold keeps its seeds."""
+        n = df[self.seed_of]
+        order = np.lexsort((n, self.item))
         begin = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        rank = np.arange(len(order)) - np.repeat(begin[:-1], np.diff(begin))
-        half = np.repeat((np.diff(begin) + 1) // 2, np.diff(begin))
-        stay = np.sort(order[rank < half])
+        median = n[order][np.minimum((begin[:-1] + begin[1:] - 1) // 2, max(0, len(order) - 1))] if len(order) else n
+        stay = np.flatnonzero(n <= COMMON * (median[self.item] + 1))
         self.item, self.at = self.item[stay], self.at[stay]
         left, self.seed_of = np.unique(self.seed_of[stay], return_inverse=True)
         self.seeds = self.seeds[left]
@@ -126,7 +128,7 @@ def align(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     places = np.arange(n + 1, dtype=np.int64)
     fresh, slope = places[None, :], -GAP * (places << 32)[None, :]
     row = np.repeat(fresh, len(texts), axis=0)
-    best, end = row.max(axis=1), np.zeros(len(texts), np.int64)
+    best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for x in item.tolist():
         step = np.where(texts == x, MATCH, MISMATCH).astype(np.int64) << 32
         new = np.maximum(row + (GAP * (1 << 32)), fresh)
