@@ -54,21 +54,20 @@ def resolve(records: DataFrame) -> DataFrame:
     An empty table gives an empty result; other columns are left out. Payloads are shuffled once, and only to the
     revisits that take them."""
     header = lambda name: F.element_at(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.lit(name))
-    small = materialize(records.select("record_id", canonical_url(F.col("url")).alias("canon"), "ts", F.coalesce("revisit", F.lit(False)).alias("revisit"), header("etag").alias("etag"), header("last-modified").alias("last_modified")))
-    found = latest_before(small.where("canon IS NOT NULL AND ts IS NOT NULL"))
+    small = materialize(records.select("record_id", canonical_url(F.col("url")).alias("canon"), "ts", F.coalesce("revisit", F.lit(False)).alias("revisit"), header("etag").alias("etag"), header("last-modified").alias("last_modified"), F.when(F.coalesce("revisit", F.lit(False)), F.col("headers")).alias("own")))
+    found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL"))
     tag = F.when(F.col("etag").isNotNull() & F.col("response_etag").isNotNull(), F.col("etag") == F.col("response_etag"))
     date = F.when(F.col("last_modified").isNotNull() & F.col("response_last_modified").isNotNull(), F.col("last_modified") == F.col("response_last_modified"))
     same = F.coalesce(tag, date)
     outcome = F.when(F.col("response_id").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    judged = materialize(small.where("revisit").join(found, "record_id", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), "response_id"))
-    own = records.where("revisit").select("record_id", F.col("headers").alias("own"))
+    judged = materialize(small.where("revisit").join(found, "record_id", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), "response_id", "own"))
     takes = judged.where(F.col("outcome").isin("resolved", "unchecked"))
     full = records.where(~F.coalesce("revisit", F.lit(False))).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload")
     none = F.create_map().cast("map<string,string>")
     new = F.map_filter(F.coalesce("own", none), lambda k, _: k.isin(*PERMITTED))
     old = F.map_filter(F.coalesce("stored", none), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    merged = takes.join(full, "response_id").join(own, "record_id").select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
-    left = judged.where(~F.col("outcome").isin("resolved", "unchecked")).join(own, "record_id").select("record_id", "canonical_url", "outcome", "response_id", F.col("own").alias("headers"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"))
+    merged = takes.join(full, "response_id").select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
+    left = judged.where(~F.col("outcome").isin("resolved", "unchecked")).select("record_id", "canonical_url", "outcome", "response_id", F.col("own").alias("headers"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"))
     return merged.unionByName(left)
 
 
