@@ -1,0 +1,85 @@
+"""Encoded column chunks: whole numbers as differences in groups of seven bits, texts as shared prefix and rest, both
+compressed. One task call holds one chunk of one column, whose size the chunk bounds."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LEVEL = 3
+
+
+def put_varints(v: np.ndarray) -> bytes:
+    """Signed 64-bit numbers, zigzagged, in groups of seven bits, lowest first."""
+    z = ((v << 1) ^ (v >> 63)).view(np.uint64)
+    groups = np.stack([(z >> np.uint64(7 * k)) & np.uint64(127) for k in range(10)], axis=1).astype(np.uint8)
+    size = np.maximum(1, 10 - np.argmax(groups[:, ::-1] > 0, axis=1))
+    size[z == 0] = 1
+    place = np.arange(10)[None, :]
+    groups |= np.where(place < size[:, None] - 1, 128, 0).astype(np.uint8)
+    return groups[place < size[:, None]].tobytes()
+
+
+def take_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(raw < 128)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    shift = (7 * (np.arange(len(raw)) - np.repeat(begins, ends - begins + 1))).astype(np.uint64)
+    z = np.bitwise_or.reduceat((raw & 127).astype(np.uint64) << shift, begins)
+    return ((z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))).view(np.int64)
+
+
+def _encode(key: tuple, t: pa.Table) -> pa.Table:
+    t = t.sort_by("pos")
+    pos, whole, text = t.column("pos").to_numpy(), t.column("i"), t.column("s")
+    parts = [put_varints(np.diff(pos, prepend=0)), np.packbits([x is None for x in whole.to_pylist()]).tobytes(), np.packbits([x is None for x in text.to_pylist()]).tobytes()]
+    i = whole.drop_null().to_numpy().astype(np.int64)
+    parts.append(put_varints(np.diff(i, prepend=0)) if len(i) else b"")
+    s = [x.encode() for x in text.drop_null().to_pylist()]
+    parts += [put_varints(np.array([len(x) for x in s], np.int64)) if s else b"", b"".join(s)]
+    sizes = np.array([len(t), *map(len, parts)], np.int64)
+    head = put_varints(sizes)
+    raw = bytes([len(head)]) + head + b"".join(parts)
+    data = pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "path": [key[1].as_py()], "n": pa.array([len(t)], pa.int64()), "size": pa.array([len(raw)], pa.int64()), "data": pa.array([data], pa.binary())})
+
+
+def encode(cells: DataFrame) -> DataFrame:
+    """chunk, path, n, size, data from cells(chunk, path, pos, i, s)."""
+    return cells.select("chunk", "path", "pos", "i", "s").groupBy("chunk", "path").applyInArrow(_encode, "chunk long, path string, n long, size long, data binary")
+
+
+def _decode(batches):
+    for b in batches:
+        for chunk, path, size, data in zip(*(b.column(c).to_pylist() for c in ("chunk", "path", "size", "data")), strict=True):
+            raw = pa.Codec("zstd").decompress(data, size, asbytes=True)
+            n, *sizes = take_varints(raw[1 : 1 + raw[0]]).tolist()
+            at, parts = 1 + raw[0], []
+            for k in sizes:
+                parts.append(raw[at : at + k])
+                at += k
+            no_i, no_s = (np.unpackbits(np.frombuffer(p, np.uint8), count=n).astype(bool) for p in parts[1:3])
+            i, lengths = np.cumsum(take_varints(parts[3])), take_varints(parts[4])
+            ends = np.cumsum(lengths)
+            texts = [parts[5][e - k : e].decode() for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            place_i, place_s = np.cumsum(~no_i) - 1, np.cumsum(~no_s) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * n, pa.int64()), pa.array([path] * n), pa.array(np.cumsum(take_varints(parts[0]))), pa.array([None if x else int(i[k]) for x, k in zip(no_i, place_i, strict=True)], pa.int64()), pa.array([None if x else texts[k] for x, k in zip(no_s, place_s, strict=True)], pa.string())],
+                ["chunk", "path", "pos", "i", "s"],
+            )
+
+
+def decode(encoded: DataFrame) -> DataFrame:
+    """The cells again. A filter on chunk or path reaches the table that holds them."""
+    return encoded.select("chunk", "path", "size", "data").mapInArrow(_decode, "chunk long, path string, pos long, i long, s string")
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """path, n, diffs: cells of each path in a, and those that b lacks or holds otherwise."""
+    both = a.alias("a").join(b.alias("b"), ["chunk", "path", "pos"], "full")
+    same = F.col("a.i").eqNullSafe(F.col("b.i")) & F.col("a.s").eqNullSafe(F.col("b.s"))
+    return both.groupBy("path").agg(F.count("*").alias("n"), F.count(F.when(~same, 1)).alias("diffs"))

@@ -143,4 +143,6 @@ ORACLES = {
     "schema_seq_cost": f"WITH {_SCHEMAS}, c AS (SELECT ordinal // 4096 AS chunk, ordinal AS pos, schema_id AS value FROM per JOIN reg USING (\"schema\")), {_RUNS}, b AS (SELECT chunk, ceil(count(*) * {_BITS('(max(value) + 1)')} / 8.0)::BIGINT AS bitpack FROM c GROUP BY chunk), r AS (SELECT chunk, sum({_UVL('n')} + {_UVL('value')})::BIGINT AS rle FROM runs GROUP BY chunk) SELECT chunk, bitpack, rle, CASE WHEN bitpack <= rle THEN 'bitpack' ELSE 'rle' END AS enc FROM b JOIN r USING (chunk)",
     "infer_value": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'int' WHEN 2 THEN 'float' WHEN 3 THEN 'text' WHEN 4 THEN CASE WHEN event_id = 0 THEN 'text' ELSE 'int' END ELSE 'text' END AS kind FROM events",
     "copy_escape": "SELECT page_id, coalesce(replace(replace(replace(replace(replace(replace(replace(s, '\\', '\\\\'), chr(8), '\\b'), chr(12), '\\f'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(11), '\\v'), '\\N') AS cell FROM (SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN url || chr(9) || '\\' || left(html, 200) END AS s FROM pages)",
+    "encode_roundtrip": f"WITH {_EVENTS} SELECT path, count(*) AS n, 0::BIGINT AS diffs FROM cells GROUP BY path",
+    "copy_rows": "SELECT c_custkey // 100 * 1000 + 1 + c_custkey % 100 AS ordinal, 'public.customer' AS target, 3::BIGINT AS width, c_custkey AS id, c_name || chr(9) || '\\' AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer",
 }

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import codec as C
 from ..operators import encodings as E
 from ..operators import records as R
 from ..operators import sequences as Q
+from ..sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -303,3 +305,27 @@ def infer_value(spark, d):
 def copy_escape(spark, d):
     s = F.when(F.col("page_id") % 9 == 0, F.lit(None)).otherwise(F.concat("url", F.lit("\t\\"), F.left("html", F.lit(200))))
     return table(spark, d, "pages").select("page_id", S.copy_escape(s).alias("cell"))
+
+
+@query
+def encode_roundtrip(spark, d):
+    """Cells that differ after encoding to bytes and decoding."""
+    cells = _event_cells(spark, d)
+    return C.differences(cells, C.decode(C.encode(cells)))
+
+
+def dump_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A dump of the customers, a COPY block for every hundred, as lines."""
+    k = F.col("c_custkey")
+    own = table(spark, d, "customer").select(F.floor(k / 100).alias("b"), k.alias("k"), F.concat_ws("\t", k.cast("string"), S.copy_escape(F.concat("c_name", F.lit("\t\\"))), F.when(k % 5 == 0, "\\N").otherwise(F.col("c_mktsegment"))).alias("line"))
+    blocks = own.select("b").distinct()
+    rows = own.select((F.col("b") * 1000 + 1 + F.col("k") % 100).alias("ordinal"), "line")
+    heads = blocks.select((F.col("b") * 1000).alias("ordinal"), F.lit("COPY public.customer (id, name, segment) FROM stdin;").alias("line"))
+    ends = blocks.select(F.explode(F.array(*[F.struct((F.col("b") * 1000 + n).alias("ordinal"), F.lit(t).alias("line")) for n, t in ((998, "\\."), (999, "SET x = 1;"))])).alias("x")).select("x.*")
+    return E.union([rows, heads, ends]).withColumn("file", F.lit("dump.sql"))
+
+
+@query
+def copy_rows(spark, d):
+    got = T.copy_rows(dump_lines(spark, d))
+    return got.select("ordinal", "target", F.size("columns").cast("long").alias("width"), F.col("cells")[0].cast("long").alias("id"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("segment"))
