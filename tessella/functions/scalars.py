@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z$"
-UNSIGNED = r"^(0|[1-9][0-9]*)$"
-HEX = r"^([0-9a-f]+|[0-9A-F]+)$"
-IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
-TEMPLATE = r"^([^0-9-]*)(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?)([^0-9]*)$"
+#: Patterns of whole texts; a line feed at the end is no match.
+TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z\z"
+UNSIGNED = r"^(0|[1-9][0-9]*)\z"
+HEX = r"^([0-9a-f]+|[0-9A-F]+)\z"
+IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\z"
+TEMPLATE = r"^([^0-9-]*)(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?)([^0-9]*)\z"
 
 
 def zigzag(v: Column) -> Column:
@@ -63,8 +64,8 @@ def ipv4_text(n: Column) -> Column:
 
 def infer_kind(s: Column) -> Column:
     """int or float where the text prints back as it stands, else text."""
-    whole = s.rlike(r"^-?(0|[1-9][0-9]*)$") & (s != "-0") & (F.length(s) <= 15)
-    decimal = s.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]*[1-9]$") & (F.length(s) <= 15)
+    whole = s.rlike(r"^-?(0|[1-9][0-9]*)\z") & (s != "-0") & (F.length(s) <= 15)
+    decimal = s.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]*[1-9]\z") & (F.length(s) <= 15)
     return F.when(whole, "int").when(decimal, "float").otherwise("text")
 
 
