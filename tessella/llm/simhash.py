@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,29 +14,36 @@ from pyspark.sql import functions as F
 from .common import materialize, packed, row_keys
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: A fingerprint's bits fall into this many blocks. RADIUS differing bits leave at least BLOCKS - RADIUS blocks equal,
-#: so two linked fingerprints share at least one shard, named by a choice of BLOCKS - RADIUS blocks and their bits.
-BLOCKS = 6
+#: A fingerprint's bits fall into radius + SHARED blocks. radius differing bits leave at least SHARED blocks equal, so
+#: two linked fingerprints share at least one shard, named by a choice of SHARED blocks and their bits.
+SHARED = 2
+#: For one document of each group: words of a shingle, the share of common shingles that two texts need, and the bits
+#: within which such pairs are looked for.
+KEEP_SHINGLE, KEEP_SIMILARITY, KEEP_RADIUS, KEEP_SHARED = 5, 0.8, 7, 3
 #: A shard of more fingerprints than this is cut into trees of about this many, each asked by all parts of the shard.
 TREE_SIZE = 20_000
 #: Pairs of query and node held at once.
 FRONTIER = 500_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Majority of the bits of the shingles' XXH64, as a signed 64-bit number; no words: zero."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of shingle words, repeats included; of all words if there are fewer, of nothing if none."""
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
+    joined = b" ".join(w)
     if len(w) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)], dtype="<u8")
-    else:
-        joined = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-        spans = zip(starts[: len(w) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(view[a:b], SEED) for a, b in spans), dtype="<u8", count=len(w) - shingle + 1)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, view = xxhash.xxh64_intdigest, memoryview(joined)
+    spans = zip(starts[: len(w) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in spans), dtype="<u8", count=len(w) - shingle + 1)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Majority of the bits of the shingles' XXH64, as a signed 64-bit number; no words: zero."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -44,26 +51,26 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[Column | str], text: Column) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[Column | str], text: Column, shingle: int = SHINGLE) -> DataFrame:
     """keep and fp for every row; a null text has no words."""
     own = docs.select(*keep, text.cast("binary").alias("_text"))
     names = [c for c in own.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array((fingerprint(x.as_py()) for x in b.column("_text")), type=pa.int64())
+            fps = pa.array((fingerprint(x.as_py(), shingle) for x in b.column("_text")), type=pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), fps], [*names, "fp"])
 
     schema = own.select(*names).withColumn("fp", F.lit(0).cast("long")).schema
     return own.mapInArrow(run, schema)
 
 
-def shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def shards(nodes: DataFrame, radius: int = RADIUS, shared: int = SHARED) -> DataFrame:
     """fp and shard, for each shard that may hold a neighbour of the fingerprint."""
-    blocks = radius + (BLOCKS - RADIUS)
+    blocks = radius + shared
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
+    for chosen in combinations(range(blocks), shared):
         mask = sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     names = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
@@ -132,10 +139,10 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def _link(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Links (each row to the first of its set) among rows in runs of a group. Rows of side 0 make up the group's tree
-    and ask it too, rows of side 1 only ask it, rows of side 2 only make it up."""
-    parent, rows = np.arange(len(fp)), np.flatnonzero(side != 1)
+def _pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different rows in a run of one group with at most radius differing bits. Rows of side 0 make up the
+    group's tree and ask it too, rows of side 1 only ask it, rows of side 2 only make it up."""
+    rows = np.flatnonzero(side != 1)
     if len(rows):
         root, *tree = build_trees(group[rows], fp[rows])
         roots = np.unique(root)
@@ -146,15 +153,38 @@ def _link(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> p
         both = np.concatenate((fp[rows], fp[asks]))
         for q, node in search(both, tree, np.arange(len(asks)) + len(rows), start, radius):
             a, b = asks[q - len(rows)], rows[node]
-            parent = unite(parent, a[a != b], b[a != b])
+            yield a[a != b], b[a != b]
+
+
+def _link(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Links of each row to the first of its set, among rows in runs of a group."""
+    parent = np.arange(len(fp))
+    for a, b in _pairs(group, fp, side, radius):
+        parent = unite(parent, a, b)
     hit = np.flatnonzero(parent != np.arange(len(fp)))
     return pa.RecordBatch.from_arrays([pa.array(fp[hit].view(np.int64)), pa.array(fp[parent[hit]].view(np.int64))], ["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that connect all fingerprints with at most radius differing bits: in each
-    shard every linked fingerprint is tied to the first of its local set, so there are fewer links than rows."""
-    members = shards(nodes, radius)
+def _nearest(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> pa.RecordBatch:
+    """For each row in runs of a group its nearest neighbour, and the nearest of those with a lower fingerprint."""
+    n, none = len(fp), np.iinfo(np.int64).max
+    best = {low: np.full(n, none) for low in (False, True)}
+    for x, y in _pairs(group, fp, side, radius):
+        for a, b in ((x, y), (y, x)):
+            key = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) * n + b
+            np.minimum.at(best[False], a, key)
+            down = fp[b] < fp[a]
+            np.minimum.at(best[True], a[down], key[down])
+    parts = []
+    for low, key in best.items():
+        hit = np.flatnonzero(key != none)
+        parts.append((fp[hit].view(np.int64), fp[key[hit] % n].view(np.int64), key[hit] // n, np.full(len(hit), low)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["a", "b", "d", "low"])
+
+
+def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What task makes of the groups: every shard's trees, each with the fingerprints that ask it."""
+    members = shards(nodes, radius, shared)
     large = materialize(members.groupBy("shard").count().where(F.col("count") > tree_size)
                         .select("shard", F.ceil(F.col("count") / tree_size).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
@@ -180,12 +210,53 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) ->
                 continue
             g, fp, side = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.flatnonzero(g != g[-1])[-1]) + 1  # the last group may go on in the next batch
-            yield _link(g[:cut], fp[:cut], side[:cut], radius)
+            yield task(g[:cut], fp[:cut], side[:cut], radius)
             held = [(g[cut:], fp[cut:], side[cut:])]
         if held:
-            yield _link(*(np.concatenate(x) for x in zip(*held, strict=True)), radius)
+            yield task(*(np.concatenate(x) for x in zip(*held, strict=True)), radius)
 
-    return spread.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return spread.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, schema)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, shared: int = SHARED) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints that connect all fingerprints with at most radius differing bits: in each
+    shard every linked fingerprint is tied to the first of its local set, so there are fewer links than rows."""
+    return _ask(nodes, radius, tree_size, shared, _link, "a long, b long")
+
+
+def nearest(nodes: DataFrame, radius: int, tree_size: int, shared: int) -> DataFrame:
+    """Pairs (a, b), b < a: each fingerprint's nearest neighbour within the radius, and the nearest of its lower ones.
+    At most two for a fingerprint, however many are alike."""
+    found = _ask(nodes, radius, tree_size, shared, _nearest, "a long, b long, d long, low boolean")
+    best = found.groupBy("a", "low").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts(fp, _text) share at least that part of their different shingles,
+    which are told apart by 32 bits of their XXH64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (np.unique(shingle_hashes(x.as_py(), shingle).astype("<u4")).tobytes() for x in b.column("_text"))
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], ["fp", "own"])
+
+    own = materialize(texts.mapInArrow(run, "fp long, own binary"))
+    both = (
+        pairs.join(own.withColumnsRenamed({"fp": "a", "own": "x"}), "a").select("a", "b", "x")
+        .join(own.withColumnsRenamed({"fp": "b", "own": "y"}), "b").select("a", "b", "x", "y")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            kept = []
+            for x, y in zip(r.column("x"), r.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype="<u4") for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common >= similarity * (len(x) + len(y) - common))
+            yield r.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,14 +281,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def classes(marked: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """fp and component_id (the smallest id, nulls aside) for every distinct fp of marked(id, fp)."""
+def classes(marked: DataFrame, linker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fp, root (the smallest fingerprint of the class) and component_id (its smallest id, nulls aside) for every
+    distinct fp of marked(id, fp), linked by the pairs (a, b) that linker gives for the distinct fingerprints."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = materialize(components(links(nodes, radius, tree_size)))
+    roots = materialize(components(linker(nodes)))
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = linked.join(lowest, "root").select(F.col("fp").alias("node"), "component_id")
-    return nodes.join(of, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    of = linked.join(lowest, "root").select("node", "root", "component_id")
+    return nodes.join(of, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -227,19 +299,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component whose ids are all null has a null component_id. An empty table gives an empty result; other columns are
     left out."""
     marked = materialize(fingerprints(docs, [F.col(doc_id).alias("id")], F.col(text)))
-    of = materialize(classes(marked, radius, tree_size))
+    of = materialize(classes(marked, lambda nodes: links(nodes, radius, tree_size)).drop("root"))
     return marked.join(of, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, without those that a component's other row makes superfluous: the row with the
-    component's smallest id stays; of rows that share that id, or of components without ids, the one whose key hashes lowest, and
-    one of repeated rows."""
+def keep_first(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = KEEP_SIMILARITY, shingle: int = KEEP_SHINGLE,
+    radius: int = KEEP_RADIUS, shared: int = KEEP_SHARED, tree_size: int = TREE_SIZE,
+) -> DataFrame:
+    """The rows of docs, all columns, without those that another row of their group makes superfluous.
+
+    A group is what links connect. Texts of equal fingerprints are linked (blank and null ones too); others, if one is
+    the nearest within the radius to the other, of all or of the lower fingerprints, and they share that part of their
+    different shingles. The row with the group's smallest id stays (a null id comes last); of rows that share
+    it, the one whose key hashes lowest, and one of repeated rows. An empty table stays empty."""
     keyed = docs.select(*row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), packed(docs))
-    marked = materialize(fingerprints(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text]))
-    first = (
-        marked.join(classes(marked.select("id", "fp"), radius), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
-        .agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k.*")
-    )
+    marked = materialize(fingerprints(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text], shingle))
+
+    def linker(nodes: DataFrame) -> DataFrame:
+        pairs = materialize(nearest(nodes, radius, tree_size, shared))
+        used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        shown = marked.join(used, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*")
+        texts = keyed.join(shown, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "fp"]).select("fp", F.col("_row")[text].cast("binary").alias("_text"))
+        return alike(pairs, texts, shingle, similarity)
+
+    of = classes(marked.select("id", "fp"), linker).select("fp", "root")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
+    first = marked.join(of, "fp").groupBy("root").agg(F.min(order).alias("k")).select("k._k1", "k._k2")
     return keyed.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
