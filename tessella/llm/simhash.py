@@ -22,6 +22,8 @@ SHARED = 2
 KEEP_SHINGLE, KEEP_SIMILARITY, KEEP_RADIUS, KEEP_SHARED = 5, 0.8, 7, 3
 #: A shard of more fingerprints than this is cut into trees of about this many, each asked by all parts of the shard.
 TREE_SIZE = 20_000
+#: A shard's size, which only decides how many trees it is cut into, is taken from one in so many fingerprints.
+SIZE_RATE = 16
 #: Pairs of query and node held at once.
 FRONTIER = 500_000
 
@@ -185,8 +187,9 @@ def _nearest(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -
 def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     """What task makes of the groups: every shard's trees, each with the fingerprints that ask it."""
     members = shards(nodes, radius, shared)
-    large = materialize(members.groupBy("shard").count().where(F.col("count") > tree_size)
-                        .select("shard", F.ceil(F.col("count") / tree_size).cast("int").alias("parts")))
+    sized = shards(nodes.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(SIZE_RATE)) == 0), radius, shared).groupBy("shard").count()
+    large = materialize(sized.withColumn("n", F.col("count") * SIZE_RATE).where(F.col("n") > tree_size)
+                        .select("shard", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     own = F.transform(F.sequence(part, F.col("parts") - 1), lambda j: F.struct(part.alias("tree"), j.alias("asks"), F.when(j == part, 0).otherwise(2).alias("side")))
     asked = F.when(part > 0, F.transform(F.sequence(F.lit(0), part - 1), lambda i: F.struct(i.alias("tree"), part.alias("asks"), F.lit(1).alias("side")))).otherwise(
