@@ -326,3 +326,11 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in near.collect()} - hit
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in clean.collect()}
+
+
+def test_keep_first_of_empty_and_odd_tables(spark):
+    schema = "doc_id long, text string, fp string, own string, root string, low string, a string"
+    assert simhash.keep_first(spark.createDataFrame([], schema)).collect() == []
+    odd = [(None, None, "x", None, None, None, None), (None, "", None, None, None, None, None), (3, " \n", "y", None, None, None, "z"), (4, "one word more", None, None, None, None, None), (4, "one word more", None, None, None, None, None)]
+    kept = simhash.keep_first(spark.createDataFrame(odd, schema))
+    assert kept.columns == ["doc_id", "text", "fp", "own", "root", "low", "a"] and sorted(r.doc_id for r in kept.collect()) == [3, 4]
