@@ -145,4 +145,13 @@ ORACLES = {
     "copy_escape": "SELECT page_id, coalesce(replace(replace(replace(replace(replace(replace(replace(s, '\\', '\\\\'), chr(8), '\\b'), chr(12), '\\f'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(11), '\\v'), '\\N') AS cell FROM (SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN url || chr(9) || '\\' || left(html, 200) END AS s FROM pages)",
     "encode_roundtrip": f"WITH {_EVENTS} SELECT path, count(*) AS n, 0::BIGINT AS diffs FROM cells GROUP BY path",
     "copy_rows": "SELECT c_custkey // 100 * 1000 + 1 + c_custkey % 100 AS ordinal, 'public.customer' AS target, 3::BIGINT AS width, c_custkey AS id, c_name || chr(9) || '\\' AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer",
+    "detect_format": """SELECT page_id, CASE WHEN e IN ('csv', 'tsv') THEN 'csv' WHEN e = 'sql' THEN 'sql' WHEN e IN ('jsonl', 'ndjson') THEN 'jsonl' WHEN e = 'json' THEN 'json' WHEN page_id % 2 = 0 THEN 'sql' ELSE 'json' END AS format
+      FROM (SELECT page_id, lower(regexp_extract(CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '.CSV' ELSE '' END, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""",
+    "csv_roundtrip": "SELECT page_id, url, length(h) AS n, md5(h) AS html_md5, 3::BIGINT AS width FROM (SELECT page_id, url, replace(html, '><', '>' || chr(10) || '<') AS h FROM pages)",
+    "csv_dialect": "SELECT * FROM (VALUES ('comma', ',', true, 's_suppkey s_name s_name_2'), ('semicolon', ';', true, 's_suppkey s_name s_name_2'), ('tab', chr(9), false, 'column_1 column_2 column_3'), ('bar', '|', true, 's_suppkey s_name s_name_2')) t(file, delimiter, has_header, names)",
+    "json_array": """SELECT (event_id // 1000)::VARCHAR AS file, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS ordinal, event_id AS id, '{"id":' || event_id || ',"type":"' || event_type || '"}' AS rec FROM events""",
+    "insert_rows": """SELECT s_suppkey AS ordinal, CASE WHEN m THEN 'literal' ELSE 'insert' END AS kind, CASE WHEN NOT m THEN 'public.supplier' END AS target, CASE WHEN NOT m THEN s_suppkey::VARCHAR END AS id, CASE WHEN NOT m THEN s_name || '''s, ('')' END AS name,
+      CASE WHEN NOT m AND s_suppkey % 3 <> 0 THEN 'f(1, ''a,b'')' END AS note, CASE WHEN NOT m THEN true END AS name_quoted, CASE WHEN NOT m THEN false END AS note_quoted FROM (SELECT *, s_suppkey % 7 = 0 AS m FROM supplier)""",
+    "dump_roundtrip": """SELECT 'dump.sql' AS file, 'copy' AS kind, count(*) AS n, 0::BIGINT AS diffs FROM customer UNION ALL SELECT 'dump.sql', 'literal', 3 * count(DISTINCT c_custkey // 100), 0 FROM customer
+      UNION ALL SELECT 'inserts.sql', CASE WHEN s_suppkey % 7 = 0 THEN 'literal' ELSE 'insert' END, count(*), 0 FROM supplier GROUP BY 2""",
 }

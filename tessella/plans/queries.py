@@ -12,6 +12,7 @@ from ..operators import codec as C
 from ..operators import encodings as E
 from ..operators import records as R
 from ..operators import sequences as Q
+from ..sources import formats as X
 from ..sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,3 +330,69 @@ def dump_lines(spark: SparkSession, d: str) -> DataFrame:
 def copy_rows(spark, d):
     got = T.copy_rows(dump_lines(spark, d))
     return got.select("ordinal", "target", F.size("columns").cast("long").alias("width"), F.col("cells")[0].cast("long").alias("id"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("segment"))
+
+
+@query
+def detect_format(spark, d):
+    """What each page would be read as, its name cut from its address, every third without one."""
+    name = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(".CSV")))
+    head = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("-- "), "html")).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", X.detect_format(name, head).alias("format"))
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as lines of one CSV file, a line feed in quotes after each tag."""
+    cells = table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit("><"), F.lit(">\n<")).alias("html"))
+    each = cells.select("page_id", F.posexplode(F.split(X.csv_lines(["page_id", "url", "html"]), "\n")).alias("k", "line"))
+    return each.select(F.lit("pages.csv").alias("file"), (F.col("page_id") * 4096 + F.col("k")).alias("ordinal"), "line")
+
+
+@query
+def csv_roundtrip(spark, d):
+    cell = lambda k: F.col("cells")[k]
+    return X.csv_records(page_lines(spark, d)).select(cell(0).cast("long").alias("page_id"), cell(1).alias("url"), F.length(cell(2)).cast("long").alias("n"), F.md5(cell(2).cast("binary")).alias("html_md5"), F.size("cells").cast("long").alias("width"))
+
+
+@query
+def csv_dialect(spark, d):
+    """Delimiter, header and names of a table written with each delimiter."""
+    own = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    found = []
+    for name, delimiter in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("bar", "|")):
+        body = own.select(F.lit(name).alias("file"), F.col("s_suppkey").alias("ordinal"), X.csv_lines(own.columns, delimiter).alias("line"))
+        head = own.agg(F.min("s_suppkey").alias("k")).select(F.lit(name).alias("file"), (F.col("k") - 1).alias("ordinal"), F.lit(delimiter.join(("s_suppkey", "s_name", "s_name"))).alias("line"))
+        lines = body.unionByName(head) if name != "tab" else body
+        heads = X.header(X.csv_records(lines, delimiter)).select("file", "has_header", F.array_join("names", " ").alias("names"))
+        found.append(X.sniff_delimiter(lines).join(heads, "file"))
+    return E.union(found)
+
+
+@query
+def json_array(spark, d):
+    """Records of JSON arrays, one of every thousand events."""
+    one = table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).alias("b"), F.struct("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("t")).alias("x"))
+    texts = one.groupBy(F.col("b").cast("string").alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.t), ","), F.lit("]")).alias("text"))
+    return X.parse_json_arrays(texts).select("file", "ordinal", F.expr("try_variant_get(rec, '$.id', 'bigint')").alias("id"), F.to_json("rec").alias("rec"))
+
+
+def insert_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Single-row INSERT lines of the suppliers, every seventh with several rows, which stay text."""
+    k = F.col("s_suppkey")
+    row = F.concat(F.lit("("), k.cast("string"), F.lit(", '"), "s_name", F.lit("''s, ('')', "), F.when(k % 3 == 0, "NULL").otherwise("f(1, 'a,b')"), F.lit(")"))
+    line = F.concat(F.lit("INSERT INTO public.supplier (id, name, note) VALUES "), row, F.when(k % 7 == 0, ", (0, '', NULL);").otherwise(";"))
+    return table(spark, d, "supplier").select(F.lit("inserts.sql").alias("file"), k.alias("ordinal"), line.alias("line"))
+
+
+@query
+def insert_rows(spark, d):
+    cell = lambda k: F.col("cells")[k]
+    return X.dump_parts(insert_lines(spark, d)).select("ordinal", "kind", "target", cell(0).alias("id"), cell(1).alias("name"), cell(2).alias("note"), F.col("quoted")[1].alias("name_quoted"), F.col("quoted")[2].alias("note_quoted"))
+
+
+@query
+def dump_roundtrip(spark, d):
+    """Lines of each kind in two dumps, and those that differ when they are written again."""
+    lines = dump_lines(spark, d).select("file", "ordinal", "line").unionByName(insert_lines(spark, d))
+    parts = X.dump_parts(lines)
+    again = X.dump_text(parts).withColumnRenamed("line", "again").join(parts.select("file", "ordinal", "kind"), ["file", "ordinal"])
+    return lines.join(again, ["file", "ordinal"]).groupBy("file", "kind").agg(F.count("*").alias("n"), F.count(F.when(~F.col("line").eqNullSafe(F.col("again")), 1)).alias("diffs"))
