@@ -10,16 +10,21 @@ TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9
 UNSIGNED = r"^(0|[1-9][0-9]*)\z"
 HEX = r"^([0-9a-f]+|[0-9A-F]+)\z"
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\z"
-TEMPLATE = r"^([^0-9-]*)(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?)([^0-9]*)\z"
+#: What stands before a text's last number, the number, and what follows it.
+TEMPLATE = r"^([^\n]*?)([+-]?[0-9]+(?:\.[0-9]+)?)([^0-9]*)\z"
+#: Numbers that their digits and scale give back: no plus sign, no zeros in front, no negative zero; 18 digits at most.
+EXACT = r"^(?!-[0.]*\z)-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
+DIGITS = 18
 
 
 def zigzag(v: Column) -> Column:
     """Signed numbers as unsigned ones: 0, -1, 1, -2 become 0, 1, 2, 3."""
-    return F.when(v >= 0, 2 * v).otherwise(-2 * v - 1)
+    v = v.cast("long")
+    return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63))
 
 
 def uvarint_len(v: Column) -> Column:
-    """Bytes of an unsigned number in groups of seven bits."""
+    """Bytes of an unsigned number (64 bits, also where the sign bit is set) in groups of seven bits."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 7)).cast("long")
 
 
@@ -45,10 +50,21 @@ def common_prefix_len(a: Column, b: Column) -> Column:
 
 
 def timestamp_ns(s: Column) -> Column:
-    """Nanoseconds since 1970 of an RFC 3339 text in UTC; null where the text is none or names no day that exists."""
+    """Nanoseconds since 1970 of an RFC 3339 text in UTC; null where the text is none, names no day that exists, or lies
+    beyond 64 bits."""
     seconds = F.unix_seconds(F.try_to_timestamp(F.concat(F.left(s, F.lit(19)), F.lit("Z"))))
     fraction = F.rpad(F.regexp_extract(s, r"\.([0-9]+)Z$", 1), 9, "0").cast("long")
-    return F.when(s.rlike(TIMESTAMP), seconds * 1_000_000_000 + F.coalesce(fraction, F.lit(0)))
+    return F.when(s.rlike(TIMESTAMP), F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000)), F.coalesce(fraction, F.lit(0))))
+
+
+def template_parts(s: Column) -> Column:
+    """prefix, mantissa, scale, suffix and chars (of the number) of a text that EXACT allows; else null."""
+    part = lambda k: F.regexp_extract(s, TEMPLATE, k)
+    number, point = part(2), F.locate(".", part(2))
+    digits = F.replace(number, F.lit("."), F.lit(""))
+    scale = F.when(point > 0, F.length(number) - point).otherwise(0).cast("long")
+    fits = number.rlike(EXACT) & (F.length(digits) <= DIGITS)
+    return F.when(fits, F.struct(part(1).alias("prefix"), digits.cast("long").alias("mantissa"), scale.alias("scale"), part(3).alias("suffix"), F.length(number).cast("long").alias("chars")))
 
 
 def ipv4_number(s: Column) -> Column:
@@ -64,7 +80,7 @@ def ipv4_text(n: Column) -> Column:
 
 def infer_kind(s: Column) -> Column:
     """int or float where the text prints back as it stands, else text."""
-    whole = s.rlike(r"^-?(0|[1-9][0-9]*)\z") & (s != "-0") & (F.length(s) <= 15)
+    whole = s.rlike(r"^-?(0|[1-9][0-9]*)\z") & (s != "-0") & (F.length(s) <= 17) & (F.abs(s.try_cast("long")) <= 2**53 - 1)
     decimal = s.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]*[1-9]\z") & (F.length(s) <= 15)
     return F.when(whole, "int").when(decimal, "float").otherwise("text")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,9 +12,11 @@ from ..functions import scalars as S
 from .sequences import CHUNK
 
 #: Encodings in the order in which ties are settled.
-ORDER = ("const", "boolbits", "ints", "intdelta", "intdelta2", "intdict", "intrle", "strraw", "timestamp", "uintstr", "ipv4", "strdict", "strrle", "hex", "prefix_raw", "front", "msgpack")
+ORDER = ("const", "boolbits", "ints", "intdelta", "intdelta2", "intdict", "intrle", "strraw", "timestamp", "uintstr", "numtemplate", "ipv4", "strdict", "strrle", "hex", "prefix_hex", "prefix_raw", "front", "msgpack")
 #: Distinct values up to which a dictionary is considered.
 DICTIONARY = 65_536
+#: Different scales up to which a template's scales are held as codes.
+SCALES = 16
 _KINDS = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "boolean": "bool", "double": "float", "float": "float", "string": "str"}
 
 
@@ -36,16 +38,35 @@ def column_kinds(cells: DataFrame) -> DataFrame:
     return cells.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
 
 
+#: Ways to hold whole numbers; the cheapest is taken where an encoding holds numbers of its own.
+_WAYS = ("", "_delta", "_delta2")
+#: The numbers of a column: its own, those of times, of decimal texts, and of numbers within texts.
+_NUMBERS = ("i", "ns", "u", "m")
+
+
+def _steps(name: str, w: Window) -> list[Column]:
+    """A number's differences and differences of differences; null beyond 64 bits."""
+    x, before, two = F.col(name), F.lag(name).over(w), F.lag(name, 2).over(w)
+    d, was = F.try_subtract(x, before), F.try_subtract(before, two)
+    return [F.when(before.isNull(), x).otherwise(d).alias(f"{name}_delta"), F.when(before.isNull(), x).when(two.isNull(), d).otherwise(F.try_subtract(d, was)).alias(f"{name}_delta2")]
+
+
+def _least(name: str) -> Column:
+    """Bytes of the cheapest way for a number; null where none holds all cells."""
+    return F.least(*[F.col(name + way) for way in _WAYS])
+
+
 def statistics(cells: DataFrame) -> DataFrame:
     """One row for each chunk and path, with all sums that costs need: two shuffles, by cell order and by value."""
     w = Window.partitionBy("chunk", "path").orderBy("pos")
-    i, s, before, two, text = F.col("i"), F.col("s"), F.lag("i").over(w), F.lag("i", 2).over(w), F.lag("s").over(w)
+    i, s, before, text = F.col("i"), F.col("s"), F.lag("i").over(w), F.lag("s").over(w)
     seen = F.lag("pos").over(w).isNotNull()
     steps = cells.select(
-        "*", (i - F.coalesce(before, F.lit(0))).alias("d"), F.when(before.isNull(), i).when(two.isNull(), i - before).otherwise(i - 2 * before + two).alias("dd"),
+        "*", F.when(s.rlike(S.UNSIGNED) & (F.length(s) <= S.DIGITS), s.cast("long")).alias("u"), S.template_parts(s).alias("t"),
         (seen & i.eqNullSafe(before) & s.eqNullSafe(text)).alias("same"), F.when(text.isNotNull(), S.common_prefix_len(text, s)).otherwise(F.lit(0)).alias("lcp"), S.timestamp_ns(s).alias("ns"), S.ipv4_number(s).alias("ip"),
     )
-    steps = steps.withColumn("nd", F.col("ns") - F.coalesce(F.lag("ns").over(w), F.lit(0)))
+    steps = steps.withColumn("m", F.col("t.mantissa"))
+    steps = steps.select("*", *[x for name in _NUMBERS for x in _steps(name, w)])
     run = F.sum(F.when(F.col("same"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     steps = steps.withColumn("run", run)
     last = F.lead("same").over(w)
@@ -55,12 +76,15 @@ def statistics(cells: DataFrame) -> DataFrame:
     suffix = size - F.octet_length(F.left("s", F.col("lcp").cast("int")))
     one = steps.groupBy("chunk", "path").agg(
         F.count("*").alias("n"), F.min("kind").alias("kind"), (F.min("kind") == F.max("kind")).alias("pure"),
-        F.sum(S.varint_len(i)).alias("ints"), F.sum(S.varint_len(F.col("d"))).alias("intdelta"), F.sum(S.varint_len(F.col("dd"))).alias("intdelta2"),
+        *[F.when(F.count(c) == F.count("*"), F.sum(S.varint_len(F.col(c)))).alias(c) for name in _NUMBERS for c in (name + way for way in _WAYS)],
+        F.min("t.prefix").alias("p0"), F.max("t.prefix").alias("p1"), F.min("t.suffix").alias("e0"), F.max("t.suffix").alias("e1"), F.sum("t.chars").alias("digits"),
+        F.size(F.collect_set("t.scale")).alias("scales"), F.sum(S.uvarint_len(F.col("t.scale"))).alias("scale_bytes"), F.size(F.collect_set(F.when(F.col("ns").isNotNull(), F.length(s)))).alias("precisions"),
+        F.min(F.length(F.regexp_extract(s, r"(?<![0-9a-f])[0-9a-f]*+\z", 0))).alias("low_hex"), F.min(F.length(F.regexp_extract(s, r"(?<![0-9A-F])[0-9A-F]*+\z", 0))).alias("high_hex"),
         F.sum(F.when(F.col("run_n").isNotNull(), S.uvarint_len(F.col("run_n")) + S.varint_len(i))).alias("intrle"),
         F.sum(S.text_len(s)).alias("strraw"), F.sum(F.when(F.col("run_n").isNotNull(), S.uvarint_len(F.col("run_n")) + S.text_len(s))).alias("strrle"),
         F.sum(S.uvarint_len(F.col("lcp")) + S.uvarint_len(suffix) + suffix).alias("front"),
-        F.min("s").alias("low"), F.max("s").alias("high"), F.bool_and(F.col("ns").isNotNull()).alias("all_ns"), F.sum(S.varint_len(F.col("nd"))).alias("nsdelta"),
-        F.bool_and(F.col("ip").isNotNull()).alias("all_ip"), F.bool_and(s.rlike(S.UNSIGNED) & (F.length(s) <= 18)).alias("all_uint"), F.sum(F.when(s.rlike(S.UNSIGNED) & (F.length(s) <= 18), S.uvarint_len(s.cast("long")))).alias("uints"),
+        F.min("s").alias("low"), F.max("s").alias("high"), 
+        F.bool_and(F.col("ip").isNotNull()).alias("all_ip"),
         F.bool_and(s.rlike(S.HEX)).alias("all_hex"), F.min(F.length(s)).alias("short"), F.max(F.length(s)).alias("long"), F.sum(F.length(s)).cast("long").alias("chars"),
     )
     values = cells.groupBy("chunk", "path", "i", "s").agg(F.lit(1).alias("one")).groupBy("chunk", "path").agg(F.count("*").alias("distinct"), F.sum(S.varint_len(i)).alias("dict_ints"), F.sum(S.text_len(s)).alias("dict_texts"))
@@ -73,17 +97,21 @@ def candidates(stats: DataFrame) -> DataFrame:
     packed = F.ceil(n * S.bits_needed(F.col("distinct")) / 8).cast("long")
     head = S.uvarint_len(F.col("distinct"))
     prefix = S.common_prefix_len(F.col("low"), F.col("high"))
+    rest = F.col("long") - prefix
+    with_codes = lambda name, k: S.uvarint_len(_least(name)) + _least(name) + F.ceil(n * S.bits_needed(k) / 8).cast("long")
     is_int, is_str = pure & (kind == "int"), pure & (kind == "str")
     small = F.col("distinct") <= DICTIONARY
     even = (F.col("short") == F.col("long")) & (F.col("long") % 2 == 0) & (F.col("long") >= 8)
     costs = {
         "const": (pure & (F.col("distinct") == 1) & kind.isin("int", "str", "bool", "null"), F.lit(0).cast("long")),
         "boolbits": (pure & (kind == "bool"), F.ceil(n / 8).cast("long")),
-        "ints": (is_int, F.col("ints")), "intdelta": (is_int, F.col("intdelta")), "intdelta2": (is_int, F.col("intdelta2")),
+        "ints": (is_int, F.col("i")), "intdelta": (is_int, F.col("i_delta")), "intdelta2": (is_int, F.col("i_delta2")),
         "intdict": (is_int & small, head + F.col("dict_ints") + packed), "intrle": (is_int, F.col("intrle")),
-        "strraw": (is_str, F.col("strraw")), "timestamp": (is_str & F.col("all_ns"), F.col("nsdelta")), "uintstr": (is_str & F.col("all_uint"), F.col("uints")),
+        "strraw": (is_str, F.col("strraw")), "timestamp": (is_str, with_codes("ns", F.col("precisions"))), "uintstr": (is_str, _least("u")),
+        "numtemplate": (is_str & (F.col("p0") == F.col("p1")) & (F.col("e0") == F.col("e1")) & (5 * F.col("digits") >= 6 * n), F.when(F.col("scales") <= SCALES, with_codes("m", F.col("scales"))).otherwise(S.uvarint_len(_least("m")) + _least("m") + F.col("scale_bytes"))),
         "ipv4": (is_str & F.col("all_ip"), 4 * n), "strdict": (is_str & small, head + F.col("dict_texts") + packed), "strrle": (is_str, F.col("strrle")),
         "hex": (is_str & F.col("all_hex") & even, (F.col("chars") / 2).cast("long")),
+        "prefix_hex": (is_str & (prefix > 0) & (F.col("short") == F.col("long")) & (rest % 2 == 0) & (rest >= 8) & (F.greatest("low_hex", "high_hex") >= rest), (n * rest / 2).cast("long")),
         "prefix_raw": (is_str & (prefix > 0) & (F.col("strraw") == n + F.col("chars")), F.col("strraw") - n * prefix),
         "front": (is_str, F.col("front")), "msgpack": (~pure | kind.isin("float", "other"), 9 * n),
     }

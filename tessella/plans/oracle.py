@@ -12,6 +12,7 @@ _TS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z$"
 _IP = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 _HEX = r"^([0-9a-f]+|[0-9A-F]+)$"
 _UINT = r"^(0|[1-9][0-9]*)$"
+_TEMPLATE, _EXACT, _MINUS0 = r"^([^\n]*?)([+-]?[0-9]+(?:\.[0-9]+)?)([^0-9]*)$", r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$", r"^-[0.]*$"
 
 
 def _chunked(table: str, key: str, value: str) -> str:
@@ -58,18 +59,28 @@ def _stats(cells: str) -> str:
     w = "OVER (PARTITION BY chunk, path ORDER BY pos)"
     ns = f"CASE WHEN regexp_matches(s, '{_TS}') THEN epoch_ns(try_cast(replace(s, 'Z', '') AS TIMESTAMP)) END"
     ip = f"regexp_matches(s, '{_IP}')"
+    part = lambda k: f"regexp_extract(s, '{_TEMPLATE}', {k})"
+    exact = f"regexp_matches(num, '{_EXACT}') AND NOT regexp_matches(num, '{_MINUS0}') AND length(replace(num, '.', '')) <= 18"
+    uint = f"CASE WHEN regexp_matches(s, '{_UINT}') AND length(s) <= 18 THEN try_cast(s AS BIGINT) END"
+    steps = ", ".join(f"CASE WHEN lag({x}) {w} IS NULL THEN {x} ELSE {x} - lag({x}) {w} END AS {x}_delta, CASE WHEN lag({x}) {w} IS NULL THEN {x} WHEN lag({x}, 2) {w} IS NULL THEN {x} - lag({x}) {w} ELSE {x} - 2 * lag({x}) {w} + lag({x}, 2) {w} END AS {x}_delta2" for x in ("i", "ns", "u", "m"))
+    sums = ", ".join(f"CASE WHEN count({c}) = count(*) THEN sum({_VL(c)}) END AS {c}" for x in ("i", "ns", "u", "m") for c in (x, f"{x}_delta", f"{x}_delta2"))
+    least = lambda x: f"least({x}, {x}_delta, {x}_delta2)"
+    coded = lambda x, k: f"{_UVL(least(x))} + {least(x)} + ceil(n * {_BITS(k)} / 8.0)::BIGINT"
     return f"""{cells},
-st AS (SELECT *, i - coalesce(lag(i) {w}, 0) AS d,
-    CASE WHEN lag(i) {w} IS NULL THEN i WHEN lag(i, 2) {w} IS NULL THEN i - lag(i) {w} ELSE i - 2 * lag(i) {w} + lag(i, 2) {w} END AS dd,
-    lag(pos) {w} IS NOT NULL AND i IS NOT DISTINCT FROM lag(i) {w} AND s IS NOT DISTINCT FROM lag(s) {w} AS same, lag(s) {w} AS t, {ns} AS ns, {ip} AS ip FROM cells),
-s2 AS (SELECT *, CASE WHEN t IS NULL THEN 0 ELSE {_LCP("t", "s")} END AS lcp, ns - coalesce(lag(ns) {w}, 0) AS nd,
+num AS (SELECT *, {part(1)} AS pre_, {part(2)} AS num, {part(3)} AS suf_, {ns} AS ns, {ip} AS ip, {uint} AS u FROM cells),
+tem AS (SELECT *, CASE WHEN {exact} THEN replace(num, '.', '')::BIGINT END AS m, CASE WHEN {exact} THEN pre_ END AS t_pre, CASE WHEN {exact} THEN suf_ END AS t_suf,
+    CASE WHEN {exact} THEN length(num) END AS t_chars, CASE WHEN {exact} THEN CASE WHEN contains(num, '.') THEN length(num) - position('.' IN num) ELSE 0 END END AS t_scale FROM num),
+st AS (SELECT *, {steps},
+    lag(pos) {w} IS NOT NULL AND i IS NOT DISTINCT FROM lag(i) {w} AND s IS NOT DISTINCT FROM lag(s) {w} AS same, lag(s) {w} AS t FROM tem),
+s2 AS (SELECT *, CASE WHEN t IS NULL THEN 0 ELSE {_LCP("t", "s")} END AS lcp,
     sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY chunk, path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM st),
 s3 AS (SELECT *, {_BYTES("s")} - {_BYTES("left(s, lcp::BIGINT)")} AS suffix FROM s2),
 rn AS (SELECT chunk, path, sum(a) AS intrle, sum(b) AS strrle FROM (SELECT chunk, path, {_UVL("count(*)")} + {_VL("any_value(i)")} AS a, {_UVL("count(*)")} + {_UVL(_BYTES("any_value(s)"))} + {_BYTES("any_value(s)")} AS b FROM s2 GROUP BY chunk, path, run) GROUP BY chunk, path),
-one AS (SELECT chunk, path, count(*) AS n, min(kind) AS kind, min(kind) = max(kind) AS pure, sum({_VL("i")}) AS ints, sum({_VL("d")}) AS intdelta, sum({_VL("dd")}) AS intdelta2,
+one AS (SELECT chunk, path, count(*) AS n, min(kind) AS kind, min(kind) = max(kind) AS pure, {sums},
+    min(t_pre) = max(t_pre) AND min(t_suf) = max(t_suf) AS one_form, sum(t_chars) AS digits, count(DISTINCT t_scale) AS scales, count(DISTINCT CASE WHEN ns IS NOT NULL THEN length(s) END) AS precisions,
+    greatest(min(length(regexp_extract(s, '[0-9a-f]*$'))), min(length(regexp_extract(s, '[0-9A-F]*$')))) AS tail,
     sum({_UVL(_BYTES("s"))} + {_BYTES("s")}) AS strraw, sum({_UVL("lcp")} + {_UVL("suffix")} + suffix) AS front, min(s) AS low, max(s) AS high,
-    bool_and(ns IS NOT NULL) AS all_ns, sum({_VL("nd")}) AS nsdelta, bool_and(coalesce(ip, false)) AS all_ip,
-    bool_and(regexp_matches(s, '{_UINT}') AND length(s) <= 18) AS all_uint, sum({_UVL(f"CASE WHEN regexp_matches(s, '{_UINT}') AND length(s) <= 18 THEN try_cast(s AS BIGINT) END")}) AS uints,
+    bool_and(coalesce(ip, false)) AS all_ip,
     bool_and(regexp_matches(s, '{_HEX}')) AS all_hex, min(length(s)) AS short, max(length(s)) AS long, sum(length(s)) AS chars FROM s3 GROUP BY chunk, path),
 vals AS (SELECT chunk, path, count(*) AS "distinct", sum({_VL("i")}) AS dict_ints, sum({_UVL(_BYTES("s"))} + {_BYTES("s")}) AS dict_texts FROM (SELECT DISTINCT chunk, path, i, s FROM cells) GROUP BY chunk, path),
 a AS (SELECT * FROM one JOIN vals USING (chunk, path) JOIN rn USING (chunk, path)),
@@ -77,21 +88,23 @@ p AS (SELECT *, ceil(n * {_BITS('"distinct"')} / 8.0)::BIGINT AS packed, {_UVL('
 cand AS (
   SELECT chunk, path, kind, n, enc, cost::BIGINT AS cost, place FROM (
   SELECT *, 'const' AS enc, 0 AS place, CASE WHEN pure AND "distinct" = 1 AND kind IN ('int', 'str', 'bool', 'null') THEN 0 END AS cost FROM p
-  UNION ALL SELECT *, 'ints', 2, CASE WHEN pure AND kind = 'int' THEN ints END FROM p
-  UNION ALL SELECT *, 'intdelta', 3, CASE WHEN pure AND kind = 'int' THEN intdelta END FROM p
-  UNION ALL SELECT *, 'intdelta2', 4, CASE WHEN pure AND kind = 'int' THEN intdelta2 END FROM p
+  UNION ALL SELECT *, 'ints', 2, CASE WHEN pure AND kind = 'int' THEN i END FROM p
+  UNION ALL SELECT *, 'intdelta', 3, CASE WHEN pure AND kind = 'int' THEN i_delta END FROM p
+  UNION ALL SELECT *, 'intdelta2', 4, CASE WHEN pure AND kind = 'int' THEN i_delta2 END FROM p
   UNION ALL SELECT *, 'intdict', 5, CASE WHEN pure AND kind = 'int' AND "distinct" <= 65536 THEN head + dict_ints + packed END FROM p
   UNION ALL SELECT *, 'intrle', 6, CASE WHEN pure AND kind = 'int' THEN intrle END FROM p
   UNION ALL SELECT *, 'strraw', 7, CASE WHEN pure AND kind = 'str' THEN strraw END FROM p
-  UNION ALL SELECT *, 'timestamp', 8, CASE WHEN pure AND kind = 'str' AND all_ns THEN nsdelta END FROM p
-  UNION ALL SELECT *, 'uintstr', 9, CASE WHEN pure AND kind = 'str' AND all_uint THEN uints END FROM p
-  UNION ALL SELECT *, 'ipv4', 10, CASE WHEN pure AND kind = 'str' AND all_ip THEN 4 * n END FROM p
-  UNION ALL SELECT *, 'strdict', 11, CASE WHEN pure AND kind = 'str' AND "distinct" <= 65536 THEN head + dict_texts + packed END FROM p
-  UNION ALL SELECT *, 'strrle', 12, CASE WHEN pure AND kind = 'str' THEN strrle END FROM p
-  UNION ALL SELECT *, 'hex', 13, CASE WHEN pure AND kind = 'str' AND all_hex AND short = long AND long % 2 = 0 AND long >= 8 THEN chars // 2 END FROM p
-  UNION ALL SELECT *, 'prefix_raw', 14, CASE WHEN pure AND kind = 'str' AND pre > 0 AND strraw = n + chars THEN strraw - n * pre END FROM p
-  UNION ALL SELECT *, 'front', 15, CASE WHEN pure AND kind = 'str' THEN front END FROM p
-  UNION ALL SELECT *, 'msgpack', 16, CASE WHEN NOT pure OR kind IN ('float', 'other') THEN 9 * n END FROM p) WHERE cost IS NOT NULL),
+  UNION ALL SELECT *, 'timestamp', 8, CASE WHEN pure AND kind = 'str' THEN {coded('ns', 'precisions')} END FROM p
+  UNION ALL SELECT *, 'uintstr', 9, CASE WHEN pure AND kind = 'str' THEN {least("u")} END FROM p
+  UNION ALL SELECT *, 'numtemplate', 10, CASE WHEN pure AND kind = 'str' AND one_form AND 5 * digits >= 6 * n THEN {coded('m', 'scales')} END FROM p
+  UNION ALL SELECT *, 'ipv4', 11, CASE WHEN pure AND kind = 'str' AND all_ip THEN 4 * n END FROM p
+  UNION ALL SELECT *, 'strdict', 12, CASE WHEN pure AND kind = 'str' AND "distinct" <= 65536 THEN head + dict_texts + packed END FROM p
+  UNION ALL SELECT *, 'strrle', 13, CASE WHEN pure AND kind = 'str' THEN strrle END FROM p
+  UNION ALL SELECT *, 'hex', 14, CASE WHEN pure AND kind = 'str' AND all_hex AND short = long AND long % 2 = 0 AND long >= 8 THEN chars // 2 END FROM p
+  UNION ALL SELECT *, 'prefix_hex', 15, CASE WHEN pure AND kind = 'str' AND pre > 0 AND short = long AND (long - pre) % 2 = 0 AND long - pre >= 8 AND tail >= long - pre THEN n * (long - pre) // 2 END FROM p
+  UNION ALL SELECT *, 'prefix_raw', 16, CASE WHEN pure AND kind = 'str' AND pre > 0 AND strraw = n + chars THEN strraw - n * pre END FROM p
+  UNION ALL SELECT *, 'front', 17, CASE WHEN pure AND kind = 'str' THEN front END FROM p
+  UNION ALL SELECT *, 'msgpack', 18, CASE WHEN NOT pure OR kind IN ('float', 'other') THEN 9 * n END FROM p) WHERE cost IS NOT NULL),
 best AS (SELECT chunk, path, any_value(n) AS n, arg_min(enc, (cost, place)) AS enc, min(cost) AS cost FROM cand GROUP BY chunk, path),
 seen AS (SELECT path, string_agg(DISTINCT enc, ',' ORDER BY enc) AS encs, sum(n)::BIGINT AS n, sum(cost)::BIGINT AS bytes FROM best GROUP BY path)"""
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators import encodings as E
 from tessella.operators import records as R
 from tessella.operators import sequences as Q
 
@@ -51,3 +52,28 @@ def test_inference_keeps_what_does_not_print_back(spark, text, kind):
 def test_addresses(spark):
     df = spark.createDataFrame([("10.0.0.1",), ("256.1.1.1",), ("01.2.3.4",), ("255.255.255.255",)], "s string")
     assert [r.n for r in df.select(S.ipv4_number(F.col("s")).alias("n")).collect()] == [167772161, None, None, 4294967295]
+
+
+def costs_of(spark, values):
+    df = spark.createDataFrame(list(enumerate(values)), f"k long, v {'long' if isinstance(values[0], int) else 'string'}")
+    return {r.enc: r.cost for r in E.candidates(E.statistics(E.long_frame(df, "k"))).where("path = 'v'").collect()}
+
+
+def test_candidates_for_texts_with_numbers_and_hex(spark):
+    latency = costs_of(spark, [f"took 0.{k % 100:02d}s" for k in range(800)])
+    assert latency["numtemplate"] == 2 + 807 + 100  # differences, seven of them of two bytes, and codes of one scale
+    trace = costs_of(spark, [f"trace/g00000000{k * 2654435761 % 2**32:08x}" for k in range(500)])
+    assert trace["prefix_hex"] == 500 * 8 // 2
+    assert "hex" not in trace and "numtemplate" not in trace
+    for odd in ("a+1", "a01", "a-0", "a-0.0", "b1"):
+        assert "numtemplate" not in costs_of(spark, ["a1", "a2", odd])
+    assert "prefix_hex" not in costs_of(spark, ["x/0123456789abcdef", "x/f123456789ABCDEF"])
+    assert costs_of(spark, ["007", "8"]).keys() >= {"strraw", "front"} and "uintstr" not in costs_of(spark, ["007", "8"])
+    assert costs_of(spark, [str(10**15 + k) for k in range(100)])["uintstr"] == 8 + 99
+
+
+def test_numbers_at_the_ends_of_64_bits(spark):
+    ends = costs_of(spark, [2**63 - 1, -(2**63), 0, -(2**63)])
+    assert ends["ints"] == 10 + 10 + 1 + 10 and "intdelta" not in ends and "intdelta2" not in ends
+    far = costs_of(spark, ["9999-12-31T00:00:00Z", "0001-01-01T00:00:00Z"])
+    assert "timestamp" not in far and "strraw" in far
