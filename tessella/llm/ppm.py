@@ -1,15 +1,17 @@
-"""Prediction by partial matching: a trie of byte contexts, learned from the corpus, gives each text's probability."""
+"""Prediction by partial matching: a trie of byte contexts, learned from the corpus, gives each text's probability. The
+trie is two tables of all grams and contexts; its frequent grams are also held in memory, and all others joined."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialize
@@ -19,8 +21,8 @@ ORDER = 4
 GRAM = ORDER + 1
 #: A byte that no UTF-8 text holds: it stands before each text and ends it.
 EDGE = 0xFF
-#: A gram is kept if it makes up at least this share of all grams of its length. The share bounds the trie to 2**21
-#: grams of each length however large the corpus is; a suffix is at least as frequent, so what is kept is a trie.
+#: A gram is looked up in memory if it makes up at least one in this many of all, so at most that many are, however large
+#: the corpus is. All other grams are looked up by a join.
 KEPT_SHARE = 2**21
 #: Likewise for the words that are looked up in memory. All other words are looked up by a join.
 FREQUENT_SHARE = 2**20
@@ -133,87 +135,85 @@ class Table:
         return out
 
 
-class Trie:
-    """Counts of grams of each length, with what every context needs for escapes with symbol exclusion."""
-
-    def __init__(self, found: dict[int, tuple[np.ndarray, np.ndarray]]):
-        none = np.zeros(0, np.int64)
-        self.keys = [none] + [found.get(k, (none, none))[0] for k in range(1, GRAM + 1)]
-        n = [none] + [found.get(k, (none, none))[1] for k in range(1, GRAM + 1)]
-        self.logn = [np.log10(np.maximum(x, 1)) for x in n]
-        #: By order: contexts, distinct bytes after them, log of (total + distinct); and, where the next shorter context
-        #: is asked after an escape from this one, its distinct bytes and log of (total + distinct) without those seen here.
-        self.ctx, self.seen, self.den, self.seen_below, self.den_below = [], [], [], [], []
-        for k in range(1, GRAM + 1):
-            ctx, first, seen = np.unique(self.keys[k] >> 8, return_index=True, return_counts=True)
-            total = np.add.reduceat(n[k], first) if len(first) else none
-            if k > 1 and len(ctx):
-                shorter = n[k - 1][np.searchsorted(self.keys[k - 1], self.keys[k] & ((1 << 8 * (k - 1)) - 1))]
-                up = np.searchsorted(self.ctx[k - 2], ctx & ((1 << 8 * (k - 2)) - 1))
-                below = self.seen[k - 2][up] - seen
-                rest = self._total[up] - np.add.reduceat(shorter, first)
-            else:
-                below, rest = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
-            self.ctx.append(ctx)
-            self.seen.append(seen)
-            self.den.append(np.log10(np.maximum(total + seen, 1)))
-            self.seen_below.append(below)
-            self.den_below.append(np.log10(np.maximum(rest + below, 1)))
-            self._total = total
-        top = np.searchsorted(self.ctx[ORDER], self.keys[GRAM] >> 8)
-        self.first = self.logn[GRAM] - self.den[ORDER][top]
-        self.places = [Table(k) for k in self.keys]
-        self.ctx_places = [Table(c) for c in self.ctx]
-        self.unseen = -math.log10(256 - len(self.keys[1])) if len(self.keys[1]) < 256 else 0.0
-
-    def logp(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of each gram's last byte after its context: from the longest known context, escaping to shorter ones;
-        bytes that a longer context had seen are excluded from the shorter one's counts."""
-        at = self.places[GRAM].find(gram)
-        hit = at >= 0
-        out = np.zeros(len(gram))
-        out[hit] = self.first[at[hit]]
-        where = np.flatnonzero(~hit)
-        q, acc = gram[where], np.zeros(len(where))
-        escaped, below, den_below = np.zeros(len(where), bool), np.zeros(len(where), np.int64), np.zeros(len(where))
-        for k in range(GRAM, 0, -1):
-            part = q & ((1 << 8 * k) - 1)
-            c, g = self.ctx_places[k - 1].find(part >> 8), self.places[k].find(part)
-            has, hit = c >= 0, g >= 0
-            c = np.where(has, c, 0)
-            if has.any():
-                den = np.where(escaped, den_below, self.den[k - 1][c])
-                left = np.where(escaped, below, self.seen[k - 1][c])
-                out[where[hit]] = acc[hit] + self.logn[k][g[hit]] - den[hit]
-                pays = has & ~hit & (left > 0)
-                acc[pays] += np.log10(left[pays]) - den[pays]
-                below = np.where(has, self.seen_below[k - 1][c], below)
-                den_below = np.where(has, self.den_below[k - 1][c], den_below)
-                escaped |= has
-            go = ~hit
-            where, q, acc, escaped, below, den_below = where[go], q[go], acc[go], escaped[go], below[go], den_below[go]
-        out[where] = acc + self.unseen
-        return out
+class Cache:
+    """The frequent grams, each with the log10 of its last byte's probability after its context."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray):
+        self.places, self.logp = Table(keys), np.append(logp, 0.0)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the sum over its frequent grams and the number of its other grams; and those grams."""
         gram, begins = grams(texts)
-        p = np.concatenate([self.logp(gram[k : k + BLOCK]) for k in range(0, len(gram), BLOCK)])
-        return np.add.reduceat(p, begins)
+        at = np.concatenate([self.places.find(gram[k : k + BLOCK]) for k in range(0, len(gram), BLOCK)])
+        missed = at < 0
+        return np.add.reduceat(self.logp[at], begins), np.add.reduceat(missed.astype(np.int64), begins), gram[missed]
+
+
+def low_bytes(gram: Column, k: Column | int) -> Column:
+    """The last k bytes of a gram."""
+    return F.get(F.array(*[gram.bitwiseAND(F.lit((1 << 8 * j) - 1).cast("long")) for j in range(GRAM + 1)]), F.lit(k) if isinstance(k, int) else k)
 
 
-def trie(counts: DataFrame) -> Trie:
-    """The trie of all grams frequent enough; shorter grams are sums over the longer ones."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    each = counts.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("gram")) for k in range(1, GRAM + 1)])).alias("x"))
-    kept = each.groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")).where(F.col("n") * KEPT_SHARE >= total)
-    t = kept.toArrow()
-    k, gram, n = (t.column(i).to_numpy() for i in range(3))
-    found = {}
-    for length in range(1, GRAM + 1):
-        own = np.flatnonzero(k == length)
-        own = own[np.argsort(gram[own])]
-        found[length] = (gram[own], n[own])
-    return Trie(found)
+def each_length(found: DataFrame, *more: str) -> DataFrame:
+    """more, k and gram: the last k bytes of each gram, for every k from 1 to GRAM."""
+    return found.select(*more, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low_bytes(F.col("gram"), k).alias("gram")) for k in range(1, GRAM + 1)])).alias("x")).select(*more, "x.*")
+
+
+def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trie as two tables over all grams: k, gram, n of the grams of each length, where shorter grams are sums over
+    the longer ones; and for each context (k, ctx; k - 1 bytes) what escapes with symbol exclusion need: den, the log of
+    total + distinct bytes; leave, that of an escape from it; and, where the next shorter context is asked after that,
+    den_below and leave_below, the same without the bytes seen here. No context has more than 256 grams."""
+    n = materialize(each_length(counts, "n").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    shorter = n.select((F.col("k") + 1).alias("k"), F.col("gram").alias("end"), F.col("n").alias("n_end"))
+    seen = (
+        n.withColumn("end", low_bytes(F.col("gram"), F.col("k") - 1)).join(shorter, ["k", "end"], "left")
+        .groupBy("k", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("seen"), F.sum("n_end").alias("n_ends"))
+    )
+    seen = materialize(seen)
+    up = seen.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("end"), F.col("total").alias("up_total"), F.col("seen").alias("up_seen"))
+    both = seen.withColumn("end", low_bytes(F.col("ctx"), F.greatest(F.col("k") - 2, F.lit(0)))).join(up, ["k", "end"], "left")
+    below, rest = F.col("up_seen") - F.col("seen"), F.col("up_total") - F.col("n_ends")
+    den, den_below = F.log10(F.col("total") + F.col("seen")), F.log10(F.greatest(rest + below, F.lit(1)))
+    contexts = both.select(
+        "k", "ctx", den.alias("den"), (F.log10("seen") - den).alias("leave"),
+        den_below.alias("den_below"), F.when(below > 0, F.log10(below) - den_below).otherwise(0.0).alias("leave_below"),
+    )
+    return n, materialize(contexts)
+
+
+def cache(n: DataFrame, contexts: DataFrame) -> Cache:
+    """The grams that make up at least one in KEPT_SHARE of all; their probabilities are those of the full tables."""
+    top = n.where(F.col("k") == GRAM)
+    total = top.agg(F.sum("n")).first()[0] or 0
+    often = top.where(F.col("n") * KEPT_SHARE >= total).withColumn("ctx", F.shiftright("gram", 8))
+    t = often.join(contexts, ["k", "ctx"]).select("gram", (F.log10("n") - F.col("den")).alias("logp")).toArrow()
+    return Cache(t.column(0).to_numpy(), t.column(1).to_numpy())
+
+
+def resolve(missed: DataFrame, n: DataFrame, contexts: DataFrame) -> DataFrame:
+    """gram and logp, log10 of its last byte after its context, for each different missed gram: from the longest known
+    context, escaping to shorter ones; bytes that a longer context had seen are excluded from the shorter one's counts."""
+    distinct = n.where("k = 1").count()
+    each = each_length(missed.select(F.col("gram"), F.col("gram").alias("asked")).distinct(), "asked").withColumn("ctx", F.shiftright("gram", 8))
+    # Few short grams and contexts stand in very many grams, so those are sent to the rows: 2**16 of each length at most.
+    parts = [
+        each.where("k < 3").join(F.broadcast(n.where("k < 3")), ["k", "gram"], "left").join(F.broadcast(contexts.where("k < 3")), ["k", "ctx"], "left"),
+        each.where("k = 3").join(n.where("k = 3"), ["k", "gram"], "left").join(F.broadcast(contexts.where("k = 3")), ["k", "ctx"], "left"),
+        each.where("k > 3").join(n.where("k > 3"), ["k", "gram"], "left").join(contexts.where("k > 3"), ["k", "ctx"], "left"),
+    ]
+    found = reduce(DataFrame.unionByName, parts)
+    names = ("n", "den", "leave", "den_below", "leave_below")
+    row = found.groupBy("asked").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, GRAM + 1) for c in names])
+    unseen = F.lit(-math.log10(256 - distinct) if distinct < 256 else 0.0)
+    escaped = [unseen]  # by length of the gram looked for: its cost after an escape from the context one byte longer
+    for k in range(1, GRAM):
+        escaped.append(F.when(F.col(f"n{k}").isNotNull(), F.log10(f"n{k}") - F.col(f"den_below{k + 1}")).otherwise(F.col(f"leave_below{k + 1}") + escaped[-1]))
+    logp = unseen
+    for k in range(1, GRAM + 1):
+        here = F.when(F.col(f"n{k}").isNotNull(), F.log10(f"n{k}") - F.col(f"den{k}")).otherwise(F.col(f"leave{k}") + escaped[k - 1])
+        logp = F.when(F.col(f"den{k}").isNotNull(), here).otherwise(logp)
+    return row.select(F.col("asked").alias("gram"), logp.alias("logp"))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -230,16 +230,18 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = vocabulary.where(F.col("n") * FREQUENT_SHARE >= n).toArrow()
     logs = np.log10(often.column("n").to_numpy() + ALPHA) if often.num_rows else np.zeros(0)
-    model = spark.sparkContext.broadcast((trie(counts), dict(zip(often.column("word").to_pylist(), logs.tolist(), strict=True))))
+    n_grams, contexts = tables(counts)
+    model = spark.sparkContext.broadcast((cache(n_grams, contexts), dict(zip(often.column("word").to_pylist(), logs.tolist(), strict=True))))
     ends = vocabulary.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     end_log = math.log10(ends + ALPHA)
     each = math.log10(n + ALPHA * (v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = model.value
+        often, known = model.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
+            missed, ends_at = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
             for texts in _parts(iter([b])):
                 for t in texts:
                     w = t.lower().split()
@@ -249,20 +251,27 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     cols[1].append(len(w) - len(rare) + (ends > 0))
                     cols[2].append(math.fsum(filter(None, logs)) + end_log)
                     cols[3].append(rare)
-                cols[4] += tree.score(texts).tolist()
+                score, n_missed, others = often.score(texts)
+                cols[4] += score.tolist()
+                ends_at.append(ends_at[-1][-1] + np.cumsum(n_missed))
+                missed.append(others)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.float64()]
+            grams_of = pa.ListArray.from_arrays(pa.array(np.concatenate(ends_at), pa.int32()), pa.array(np.concatenate(missed)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score"],
+                [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), grams_of],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "grams"],
             )
             row += b.num_rows
 
-    schema = own.select(F.lit(0).cast("long").alias("row"), "doc_id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.array(F.lit(b"")).alias("rare"), F.lit(0.0).alias("score")).schema
+    schema = own.select(F.lit(0).cast("long").alias("row"), "doc_id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.array(F.lit(b"")).alias("rare"), F.lit(0.0).alias("score"), F.array(F.lit(0).cast("long")).alias("grams")).schema
     scored = materialize(own.mapInArrow(run, schema))
     rare = scored.select("row", F.explode("rare").alias("word")).join(vocabulary.where(F.col("n") * FREQUENT_SHARE < n), "word", "left")
     c = F.coalesce("n", F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.log10(c + F.lit(ALPHA))).alias("more"), F.count("n").alias("n_more"))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    missed = scored.select("row", F.explode("grams").alias("gram"))
+    costs = missed.join(materialize(resolve(missed, n_grams, contexts)), "gram").groupBy("row").agg(F.sum("logp").alias("cost"))
+    return scored.drop("rare", "grams").join(sums, "row", "left").join(costs, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("n_more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
+        (F.col("score") + F.coalesce("cost", F.lit(0.0))).alias("score"),
     )

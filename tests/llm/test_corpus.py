@@ -310,6 +310,13 @@ def test_ppm_is_brute_force(spark):
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
 
 
+@pytest.mark.parametrize("share", [1, 2**8])
+def test_ppm_scores_rare_grams_by_their_counts(spark, monkeypatch, share):
+    """Few grams or none are held in memory, so rare ones are looked up by joins."""
+    monkeypatch.setattr(ppm, "KEPT_SHARE", share)
+    test_ppm_is_brute_force(spark)
+
+
 def test_pipeline_against_its_parts(spark):
     """Each stage keeps what brute force over its own input would keep."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
