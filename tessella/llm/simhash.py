@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -17,9 +18,11 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A fingerprint's bits fall into radius + SHARED blocks. radius differing bits leave at least SHARED blocks equal, so
 #: two linked fingerprints share at least one shard, named by a choice of SHARED blocks and their bits.
 SHARED = 2
-#: For one document of each group: words of a shingle, the share of common shingles that two texts need, and the bits
-#: within which such pairs are looked for.
-KEEP_SHINGLE, KEEP_SIMILARITY, KEEP_RADIUS, KEEP_SHARED = 5, 0.8, 7, 3
+#: For one document of each group: words of a shingle, and the share of common shingles that two texts need.
+KEEP_SHINGLE, KEEP_SIMILARITY = 5, 0.8
+#: Common shingles, which are looked for in one in so many rows, stand last in a text's order of shingles, most of these at
+#: most. They only decide how many pairs are compared.
+COMMON_RATE, COMMON_LEAST, COMMON_MOST = 16, 4, 1 << 20
 #: A shard of more fingerprints than this is cut into trees of about this many, each asked by all parts of the shard.
 TREE_SIZE = 20_000
 #: A shard's size, which only decides how many trees it is cut into, is taken from one in so many fingerprints.
@@ -45,7 +48,10 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the shingles' XXH64, as a signed 64-bit number; no words: zero."""
-    hashes = shingle_hashes(text, shingle)
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -167,23 +173,6 @@ def _link(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> p
     return pa.RecordBatch.from_arrays([pa.array(fp[hit].view(np.int64)), pa.array(fp[parent[hit]].view(np.int64))], ["a", "b"])
 
 
-def _nearest(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> pa.RecordBatch:
-    """For each row in runs of a group its nearest neighbour, and the nearest of those with a lower fingerprint."""
-    n, none = len(fp), np.iinfo(np.int64).max
-    best = {low: np.full(n, none) for low in (False, True)}
-    for x, y in _pairs(group, fp, side, radius):
-        for a, b in ((x, y), (y, x)):
-            key = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) * n + b
-            np.minimum.at(best[False], a, key)
-            down = fp[b] < fp[a]
-            np.minimum.at(best[True], a[down], key[down])
-    parts = []
-    for low, key in best.items():
-        hit = np.flatnonzero(key != none)
-        parts.append((fp[hit].view(np.int64), fp[key[hit] % n].view(np.int64), key[hit] // n, np.full(len(hit), low)))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["a", "b", "d", "low"])
-
-
 def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     """What task makes of the groups: every shard's trees, each with the fingerprints that ask it."""
     members = shards(nodes, radius, shared)
@@ -227,12 +216,102 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, sh
     return _ask(nodes, radius, tree_size, shared, _link, "a long, b long")
 
 
-def nearest(nodes: DataFrame, radius: int, tree_size: int, shared: int) -> DataFrame:
-    """Pairs (a, b), b < a: each fingerprint's nearest neighbour within the radius, and the nearest of its lower ones.
-    At most two for a fingerprint, however many are alike."""
-    found = _ask(nodes, radius, tree_size, shared, _nearest, "a long, b long, d long, low boolean")
-    best = found.groupBy("a", "low").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
-    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of texts(_text) hold, sorted, and in how many of a sample they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(x.as_py(), shingle)).view("<i8") for x in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["s"])
+
+    n = texts.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    t = n.orderBy(F.desc("n"), "s").limit(COMMON_MOST).toArrow()
+    keys, counts = (t.column(i).to_numpy() for i in range(2))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def first_shingles(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """So many of a text's different shingles, in one order for all texts, that two alike texts have one of them in common:
+    neither lacks more of the other's shingles than the similarity allows, and one more than that is taken of each."""
+    keys, counts = common
+    often = np.zeros(len(shingles), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        often = np.where(keys[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, keep: list[Column | str], text: Column, shingle: int, similarity: float) -> DataFrame:
+    """keep, fp, n (different shingles) and first (those by which alike texts meet) for every row."""
+    own = docs.select(*keep, text.cast("binary").alias("_text"))
+    names = [c for c in own.columns if c != "_text"]
+    sample = own.where(F.pmod(F.xxhash64("_text"), F.lit(COMMON_RATE)) == 0).select("_text")
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(sample, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, firsts = [], [], []
+            for x in b.column("_text"):
+                hashes = shingle_hashes(x.as_py(), shingle)
+                different = np.unique(hashes.view("<i8"))
+                fps.append(of_hashes(hashes))
+                sizes.append(len(different))
+                firsts.append(first_shingles(different, sent.value, similarity) if len(different) else different)
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in firsts]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), parts], [*names, "fp", "n", "first"])
+
+    schema = own.select(*names).withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "first": F.array(F.lit(0).cast("long"))}).schema
+    return own.mapInArrow(run, schema)
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """s, fp, n, lead of nodes(fp, n, first) for each first shingle that two or more have; lead is the lowest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, several, lead = [np.zeros(0, np.int64)] * 3, False, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, fp, n = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("s", "fp", "n"), strict=True))
+            same = s[1:] == s[:-1]
+            twice = np.concatenate(([several], same)) | np.concatenate((same, [False]))
+            starts = np.flatnonzero(np.concatenate(([True], ~same)))
+            leads = fp[starts]
+            if len(held[0]):
+                leads[0] = lead
+            leads = np.repeat(leads, np.diff(np.concatenate((starts, [len(s)]))))
+            out = np.flatnonzero(twice[:-1])  # the last row may have its like in the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (s, fp, n, leads)], ["s", "fp", "n", "lead"])
+            held, several, lead = [s[-1:], fp[-1:], n[-1:]], bool(twice[-1]), leads[-1]
+        if several:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, np.array([lead]))], ["s", "fp", "n", "lead"])
+
+    rows = nodes.select("fp", "n", F.explode("first").alias("s"))
+    return rows.repartition("s").sortWithinPartitions("s", "fp").mapInArrow(run, "s long, fp long, n long, lead long")
+
+
+def similar(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], similarity: float, tree_size: int) -> DataFrame:
+    """Pairs (a, b) of nodes(fp, n, first) that connect all alike ones; check keeps the alike of given pairs.
+
+    Links from the BK-trees, and of those that meet in a shingle each with the lowest, are compared first. Then all pairs that meet and that are in
+    different classes yet are compared, so that a large group of near copies takes few comparisons and none is missed."""
+    met = materialize(meetings(nodes))
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9)
+    leads = met.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    tried = materialize(links(nodes.select("fp"), RADIUS, tree_size).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(leads).distinct())
+    sure = materialize(check(tried))
+    of = components(sure)
+    classed = materialize(met.drop("lead").join(of, F.col("fp") == F.col("node"), "left").select("s", "fp", "n", F.coalesce("root", "fp").alias("root")))
+    open_ = classed.groupBy("s", "root").count().groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("x")).where("roots > 1")
+    left = materialize(classed.join(open_.select("s", F.col("x.root").alias("main")), "s"))
+    # One of a pair in different classes is outside the shingle's largest class.
+    x = left.where("root <> main").select("s", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "main")
+    y = left.select("s", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = x.join(y, "s").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & fits(F.col("n_a"), F.col("n_b")))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return sure.unionByName(check(materialize(pairs)))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -306,27 +385,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = KEEP_SIMILARITY, shingle: int = KEEP_SHINGLE,
-    radius: int = KEEP_RADIUS, shared: int = KEEP_SHARED, tree_size: int = TREE_SIZE,
-) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = KEEP_SIMILARITY, shingle: int = KEEP_SHINGLE, tree_size: int = TREE_SIZE) -> DataFrame:
     """The rows of docs, all columns, without those that another row of their group makes superfluous.
 
-    A group is what links connect. Texts of equal fingerprints are linked (blank and null ones too); others, if one is
-    the nearest within the radius to the other, of all or of the lower fingerprints, and they share that part of their
-    different shingles. The row with the group's smallest id stays (a null id comes last); of rows that share
-    it, the one whose key hashes lowest, and one of repeated rows. An empty table stays empty."""
+    A group is what links connect. Texts of equal fingerprints are linked (blank and null ones too); others, if they share
+    that part of their different shingles, however far apart their fingerprints are. The row with the group's smallest id
+    stays (a null id comes last); of rows that share it, the one whose key hashes lowest, and one of repeated rows. An
+    empty table stays empty."""
     keyed = docs.select(*row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), packed(docs))
-    marked = materialize(fingerprints(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text], shingle))
+    marked = materialize(sketches(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text], shingle, similarity))
+    shown = materialize(marked.groupBy("fp").agg(F.min(F.struct("_k1", "_k2", "n", "first")).alias("k")).select("fp", "k.*"))
 
-    def linker(nodes: DataFrame) -> DataFrame:
-        pairs = materialize(nearest(nodes, radius, tree_size, shared))
+    def check(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        shown = marked.join(used, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*")
-        texts = keyed.join(shown, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "fp"]).select("fp", F.col("_row")[text].cast("binary").alias("_text"))
-        return alike(pairs, texts, shingle, similarity)
+        keys = shown.join(used, "fp").select("fp", "_k1", "_k2")
+        texts = keyed.join(keys, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "fp"]).select("fp", F.col("_row")[text].cast("binary").alias("_text"))
+        return materialize(alike(pairs, texts, shingle, similarity))
 
-    of = classes(marked.select("id", "fp"), linker).select("fp", "root")
+    of = classes(marked.select("id", "fp"), lambda nodes: similar(shown, check, similarity, tree_size)).select("fp", "root")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
     first = marked.join(of, "fp").groupBy("root").agg(F.min(order).alias("k")).select("k._k1", "k._k2")
     return keyed.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")

@@ -310,6 +310,30 @@ def test_ppm_is_brute_force(spark):
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
 
 
+def test_all_pairs_at_the_similarity_go(spark):
+    """Pairs just above 0.8, far apart in bits and among many neighbours, against all pairs of shingle sets."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    frame, rows = [word() for _ in range(150)], []
+    for g in range(60):
+        base = (frame if g % 2 else []) + [word() for _ in range(60 if g % 2 else 200)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), 4):
+                edited[at] = word()
+            rows.append((len(rows), " ".join(edited)))
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in (tuple(t.split()) for _, t in rows)]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    lowest = {r: min(i for i in range(len(rows)) if up[i] == r) for r in set(up)}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(lowest.values())
+
+
 @pytest.mark.parametrize("share", [1, 2**8])
 def test_ppm_scores_rare_grams_by_their_counts(spark, monkeypatch, share):
     """Few grams or none are held in memory, so rare ones are looked up by joins."""
