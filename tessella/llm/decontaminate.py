@@ -1,5 +1,5 @@
-"""Benchmark decontamination: rare n-gram seeds lead from documents to test items, and Smith-Waterman alignment of words
-tells copies, edited ones too, from chance."""
+"""Benchmark decontamination: n-gram seeds lead from documents to test items, and Smith-Waterman alignment of words tells
+copies, edited ones too, from chance. A bound on the points leaves out alignments that can't reach the threshold."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .common import materialize, packed, row_keys
 
 SEED = 3
-#: A seed is rare if the documents that hold it are at most this many times those of the item's median seed and one.
-COMMON = 8
 #: Alignment points; a score is the points as a share of those that a verbatim copy gets.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
@@ -26,6 +24,8 @@ BITS = 21
 PAD = (1 << BITS) - 1
 #: Words compared at once in an alignment.
 CELLS = 1 << 20
+#: Windows held at once.
+WINDOWS = 200_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -86,19 +86,6 @@ class Items:
             out.append((where, at[where]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Seeds that far more documents hold than the item's median seed go, as words that every text has. The rule is
-        relative, so an item that very many documents hold keeps its seeds."""
-        n = df[self.seed_of]
-        order = np.lexsort((n, self.item))
-        begin = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        median = n[order][np.minimum((begin[:-1] + begin[1:] - 1) // 2, max(0, len(order) - 1))] if len(order) else n
-        stay = np.flatnonzero(n <= COMMON * (median[self.item] + 1))
-        self.item, self.at = self.item[stay], self.at[stay]
-        left, self.seed_of = np.unique(self.seed_of[stay], return_inverse=True)
-        self.seeds = self.seeds[left]
-        self.index()
-
     def windows(self, w: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, begin, end): runs of the document's words where the item may stand, overlapping ones joined."""
         where, seed = self.hits(w)
@@ -110,13 +97,24 @@ class Items:
         size = np.fromiter((len(self.words[i]) for i in item), np.int64, len(item))
         slack = size // 4 + 2
         begin, end = np.maximum(start - slack, 0), np.minimum(start + size + slack, len(w))
-        out: list[list[int]] = []
-        for k in np.lexsort((begin, item)).tolist():
-            if out and out[-1][0] == item[k] and begin[k] <= out[-1][2]:
-                out[-1][2] = max(out[-1][2], int(end[k]))
-            else:
-                out.append([int(item[k]), int(begin[k]), int(end[k])])
-        return [tuple(x) for x in out]
+        order = np.lexsort((begin, item))
+        item, begin, end = item[order], begin[order], end[order]
+        base = item * (len(w) + 1)  # ends of different items stay apart
+        reach = np.maximum.accumulate(base + end)
+        fresh = np.concatenate(([True], (item[1:] != item[:-1]) | (base[1:] + begin[1:] > reach[:-1])))
+        first = np.flatnonzero(fresh)
+        last = np.concatenate((first[1:], [len(item)])) - 1
+        return list(zip(item[first].tolist(), begin[first].tolist(), (reach[last] - base[last]).tolist(), strict=True))
+
+
+def bound(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """No alignment of the item with a row of texts has more points: a word of the text that the item lacks costs a
+    mismatch or a gap, any other is a match at best."""
+    held = np.zeros(max(int(texts.max(initial=0)), int(item.max(initial=0))) + 2, bool)
+    held[item] = True
+    gain = np.cumsum(np.where(held[texts], MATCH, max(MISMATCH, GAP)), axis=1)
+    gain = np.concatenate((np.zeros((len(texts), 1), gain.dtype), gain), axis=1)
+    return (gain - np.minimum.accumulate(gain, axis=1)).max(axis=1)
 
 
 def align(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,11 +142,20 @@ def align(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _aligned(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, begin, end) of the best alignment of each pair that reaches the threshold."""
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     by_item: dict[int, list[tuple[int, int, int]]] = {}
+    held = 0
     for d, w in enumerate(docs):
         for i, begin, end in items.windows(w):
             by_item.setdefault(i, []).append((d, begin, end))
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            held += 1
+        if held > WINDOWS or d == len(docs) - 1:
+            _align_all(items, docs, by_item, best)
+            by_item, held = {}, 0
+    return [(d, i, *x) for (d, i), x in sorted(best.items())]
+
+
+def _align_all(items: Items, docs: list[np.ndarray], by_item: dict[int, list[tuple[int, int, int]]], best: dict[tuple[int, int], tuple[float, int, int]]) -> None:
     for i, found in by_item.items():
         item = items.words[i]
         found.sort(key=lambda x: x[2] - x[1])
@@ -162,12 +169,15 @@ def _aligned(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int, float
             texts = np.full((n, max(e - b for _, b, e in part)), -1, np.int64)
             for row, (d, b, e) in zip(texts, part, strict=True):
                 row[: e - b] = docs[d][b:e]
-            points, begin, end = align(item, texts)
-            for (d, b, _), p, x, y in zip(part, points.tolist(), begin.tolist(), end.tolist(), strict=True):
+            may = np.flatnonzero(bound(item, texts) / (MATCH * len(item)) >= THRESHOLD)
+            if not len(may):
+                continue
+            points, begin, end = align(item, texts[may])
+            for j, p, x, y in zip(may.tolist(), points.tolist(), begin.tolist(), end.tolist(), strict=True):
+                d, b, _ = part[j]
                 score = p / (MATCH * len(item))
                 if score >= THRESHOLD and score > best.get((d, i), (0.0,))[0]:
                     best[d, i] = (score, b + x, b + y)
-    return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
@@ -188,23 +198,8 @@ def _matches(docs: DataFrame, keep: list, text, benchmark: DataFrame, item_id: s
     for items in _blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
-            n = np.zeros(len(items.seeds), np.int64)
-            for b in batches:
-                for t in b.column("_text"):
-                    n[np.unique(items.hits(items.numbers(t.as_py()))[1])] += 1
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["seed", "n"])
-
-        df = np.zeros(len(items.seeds), np.int64)
-        for r in own.select("_text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            df[r.seed] = r.n
-        items.keep_rare(df)
-        rare = spark.sparkContext.broadcast(items)
-
-        def match(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            items = rare.value
             for whole in batches:
                 for k in range(0, whole.num_rows, 512):
                     b = whole.slice(k, 512)

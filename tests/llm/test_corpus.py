@@ -164,6 +164,26 @@ def test_alignment_finds_edited_copies_only(spark):
     assert want <= planted and len(want) >= 0.95 * len(planted)
 
 
+@pytest.mark.parametrize("copies", [1, 8, 9, 1000])
+@pytest.mark.parametrize("kind", ["edited", "half"])
+def test_groups_of_copies_are_found_whatever_their_size(spark, copies, kind):
+    """Equal half copies, or copies with a changed word in every five."""
+    item = [f"w{chr(97 + k)}" for k in range(20)]
+    edited = [w if k % 5 < 4 else "other" for k, w in enumerate(item)]
+    rows = [(k, " ".join(["before", *x, "after"])) for k, x in enumerate([edited if kind == "edited" else item[:9]] * copies)] + [(9999, "wa wb wc and else")]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in found} == set(range(copies)) and len(found) == copies
+
+
+def test_bound_is_no_less_than_the_points():
+    rnd = random.Random(6)
+    for _ in range(200):
+        item, text = ([rnd.randint(0, 9) for _ in range(rnd.randint(1, 15))] for _ in range(2))
+        item, texts = np.array([x or 1 for x in item]), np.array([text])
+        assert decontaminate.bound(item, texts)[0] >= decontaminate.align(item, texts)[0][0]
+
+
 def test_alignment_points_are_smith_watermans():
     rnd = random.Random(5)
     for _ in range(40):
