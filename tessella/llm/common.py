@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,23 +21,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local session gets one of
+    its own; on a cluster that is an error, as executors don't see each other's folders."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
+#: Where the tables that materialize() has written are.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: what follows neither repeats its work nor depends on executors
-    that may be lost. The files go when the application ends."""
+    that may be lost. The files go by release(), or when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables by materialize() that nothing reads any more."""
+    for t in tables:
+        if path := _written.pop(t, None):
+            hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Keys of a table that are broadcast at most by join_uneven().
+BROADCAST_KEYS = 50_000
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table(key, weight, more), whose keys are unique, where a key may hold very many of
+    the rows. Keys whose weight is one in BROADCAST_KEYS of all or more, of which there can't be more than that, are sent to
+    all tasks; the rows of the other keys are shuffled, and none of these is large. A null key matches nothing."""
+    total, n = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).first()
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(table.drop(weight)), key, how)
+    is_large = F.col(weight) * BROADCAST_KEYS >= total
+    large, small = table.where(is_large).drop(weight), table.where(~is_large).drop(weight)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(large.select(key)), key, "left_anti")
+    found = rows.join(F.broadcast(large), key).unionByName(rest.join(small, key, how))
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else found
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
