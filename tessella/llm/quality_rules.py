@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words
+from .common import join_uneven, let, materialize, packed, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Words in a window of which repeats are counted.
@@ -15,8 +15,6 @@ RULES = ("short", "repetitive", "symbol_heavy", "line_repeats")
 HOST_LIMIT = 0.5
 #: Bounds for the prior's weight, in documents.
 LEAST_PRIOR, MOST_PRIOR = 1.0, 1000.0
-#: Hosts up to this number are broadcast; more of them are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
 
 
 def _covered(hashes: Column) -> Column:
@@ -89,32 +87,32 @@ def host_verdicts(base: DataFrame, host: str) -> DataFrame:
         between = var - mean * (1 - mean) * (m["inv"] or 0.0)
         weight = min(MOST_PRIOR, max(LEAST_PRIOR, mean * (1 - mean) / between - 1)) if between > 0 else MOST_PRIOR
         bad = bad | ((F.col(r) + mean * weight) / (F.col("host_docs") + weight) >= HOST_LIMIT)
-    verdicts = hosts.select(host, "host_docs", bad.alias("host_rejected"))
-    return F.broadcast(verdicts) if hosts.count() <= BROADCAST_HOSTS else verdicts
+    return hosts.select(host, "host_docs", bad.alias("host_rejected"))
+
+
+def with_verdicts(base: DataFrame, host: str) -> DataFrame:
+    """base with host_rejected; a host may hold any part of the documents."""
+    return join_uneven(base, host_verdicts(base, host), host, "host_docs", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     host_rejected, kept. The text is read once; what follows works on the narrow measures.
 
-    Null and empty texts have no words and fail. Repeated rows are measured each for itself, and each counts for its
-    host. A null host gives no host verdict. An empty table gives an empty result. Other columns are left out."""
-    base = materialize(base_rules(docs, text, [F.col(doc_id).alias("doc_id"), F.col(host).alias("_host")]))
-    return (
-        base.join(host_verdicts(base, "_host"), "_host", "left")
-        .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
-                (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+    Null and empty texts have no words and fail. A very long text is measured whole, in time n log n of its words.
+    Repeated rows are measured each for itself, and each counts for its host. A null host gives no host verdict. An empty
+    table gives an empty result. Other columns are left out."""
+    base = materialize(base_rules(docs, text, [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{host}`").alias("_host")]))
+    return with_verdicts(base, "_host").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
     )
 
 
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs, all columns, that pass. The rules are computed in two scans, so that no text is shuffled."""
-    base = base_rules(docs, text, [F.col(host).alias("_host")])
-    verdicts = host_verdicts(base, "_host")
-    own = [c for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(host).alias("_host"), F.col(text).alias("_text"))
-    passed = base_rules(packed, "_text", [F.col("_row"), F.col("_host")]).where(~F.col("base_failed")).select("_row", "_host")
-    return (
-        passed.join(verdicts.where("host_rejected"), "_host", "left_anti").select("_row.*")
-    )
+    """The rows of docs, all columns, that pass. The rules are computed once: rows that pass those for texts are written
+    beside their verdicts, and so are the others' verdicts, which count for their hosts. No text is shuffled."""
+    rows = docs.select(packed(docs), F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
+    ruled = base_rules(rows, "_text", [F.col("_row"), F.col("_host")])
+    base = materialize(ruled.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "_host", "base_failed", *RULES))
+    return with_verdicts(base, "_host").where(~F.col("base_failed") & ~F.col("host_rejected")).select("_row.*")
