@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 #: Words whose counts a task remembers, and the longest remembered.
 MEMORY, LONGEST = 500_000, 200
+#: Bytes of a pre-token from which on it is merged as a linked list.
+LONG = 256
 _BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: Rank of neighbours that no rule merges.
 _NO_PAIR = 1 << 30
@@ -54,6 +57,11 @@ class MergeCounter:
         keys = pairs[:, 0] << 20 | pairs[:, 1]
         self.rank = np.argsort(keys, kind="stable")
         self.keys, self.made = keys[self.rank], pairs[:, 2]
+        # The lowest rank of a pair with the symbol that a rank makes: where it is lower, order within a sequence matters.
+        low = np.full(max(vocab.values()) + 1, _NO_PAIR)
+        for side in (0, 1):
+            np.minimum.at(low, pairs[:, side], np.arange(len(pairs)))
+        self.low_after = low[pairs[:, 2]]
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.pre = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -65,15 +73,29 @@ class MergeCounter:
         return np.where(joined & (self.keys[at] == key), self.rank[at], _NO_PAIR)
 
     def merged(self, parts: list[bytes]) -> np.ndarray:
-        """Symbols left of each pre-token. The sequences lie end to end in one array. In each round every sequence
-        merges the first of its pairs of lowest rank, only the ranks beside a merge are looked up again, and sequences
-        without a pair leave."""
+        """Symbols left of each pre-token."""
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         left = size.copy()
+        for mine, merge in ((size <= LONG, self._merge_short), (size > LONG, self._merge_long)):
+            at = np.flatnonzero(mine & (size > 0))
+            if len(at):
+                left[at] = merge([parts[k] for k in at])
+        return left
+
+    def _symbols(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences end to end in one array, and the number of each symbol's sequence."""
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum(size) - 1
-        sym, seq = self.inner[raw], np.repeat(np.arange(len(parts)), size)
+        sym = self.inner[raw]
         sym[ends] = self.last[raw[ends]]
+        return sym, np.repeat(np.arange(len(parts)), size)
+
+    def _merge_short(self, parts: list[bytes]) -> np.ndarray:
+        """In each round every sequence merges the first of its pairs of lowest rank, only the ranks beside a merge are
+        looked up again, and sequences without a pair leave."""
+        sym, seq = self._symbols(parts)
+        left = np.bincount(seq, minlength=len(parts))
         rank = np.append(self._ranks(sym[:-1], sym[1:], seq[:-1] == seq[1:]), _NO_PAIR)
         while len(sym):
             start = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
@@ -92,6 +114,65 @@ class MergeCounter:
             rank[now] = self._ranks(sym[now], sym[after], (seq[now] == seq[after]) & (after > now))
         return left
 
+    def _merge_long(self, parts: list[bytes]) -> np.ndarray:
+        """The same for long sequences, in time that grows with the merges and not with merges times length. Sequences
+        don't touch each other, so all can work on the lowest rank of any of them. A round takes all places of that rank
+        at once, from the left where they overlap; should a merge be able to make a pair of lower rank, each sequence takes
+        its first place only. Neighbours are linked, and the places of a rank are held in lists by rank."""
+        sym, seq = self._symbols(parts)
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, _NO_PAIR)
+        rank[: n - 1] = self._ranks(sym[:-1], sym[1:], seq[:-1] == seq[1:])
+        sym, seq = np.append(sym, 0), np.append(seq, -1)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != _NO_PAIR]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at])) + 1
+            for group in np.split(at, cuts) if len(at) else ():
+                r = int(rank[group[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(group)
+
+        wait(np.arange(n))
+        while order:
+            r = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            if self.low_after[r] < r:
+                first = np.concatenate(([True], seq[at[1:]] != seq[at[:-1]]))
+                if not first.all():
+                    wait(at[~first])
+                at = at[first]
+            else:
+                # Of places that follow each other (x x x x), every second is taken, counted from the run's first.
+                follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                begun = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - begun) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            alive[gone] = False
+            rank[gone] = _NO_PAIR
+            beyond = after[gone]
+            after[at] = beyond
+            inner = beyond < n
+            before[beyond[inner]] = at[inner]
+            prior = before[at]
+            changed = np.unique(np.concatenate((at, prior[prior >= 0])))
+            changed = changed[alive[changed]]
+            right = after[changed]
+            rank[changed] = self._ranks(sym[changed], sym[right], seq[changed] == seq[right])
+            wait(changed)
+        return np.bincount(seq[:-1][alive], minlength=len(parts))
+
     def _learn(self, new: list[str]) -> dict[str, int]:
         lower = [w.lower() if w.isascii() else self.normal(w) for w in new]
         split = [[w] if w.isascii() and w.isalpha() else self.pre.findall(w) for w in lower]
@@ -132,7 +213,7 @@ def _of_worker(path: str) -> MergeCounter:
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
-    A null text is empty and has no tokens. Repeated rows are counted each for itself; a null id is passed on. An empty
+    A null text is empty and has no tokens. Very long texts and words take time in proportion to their length, about. Repeated rows are counted each for itself; a null id is passed on. An empty
     table gives an empty result; other columns are left out. No row leaves its task."""
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
