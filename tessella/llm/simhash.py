@@ -1,18 +1,23 @@
-"""SimHash near-duplicates: fingerprints, links found in BK-trees of fingerprint shards, components, one kept of each."""
+"""SimHash near-duplicates: fingerprints, links found in BK-trees of fingerprint shards, components, one kept of each.
+
+No tree goes through the driver: a shard's rows reach a task by shuffle, and the task builds their tree. Shards are named
+such that linked rows share one. For a small radius they are blocks of the fingerprint's bits: radius differing bits leave
+SHARED of radius + SHARED blocks equal, so no link is lost. Texts that share 0.8 of their shingles may differ in over 14 of
+64 bits, which blocks can't bound; there shards are named by the texts' MinHash bands, the trees are searched within a
+larger radius, and what they give is checked on the shingles."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, row_keys
+from .common import join_uneven, materialize, packed, release, row_keys
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A fingerprint's bits fall into radius + SHARED blocks. radius differing bits leave at least SHARED blocks equal, so
@@ -20,9 +25,11 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SHARED = 2
 #: For one document of each group: words of a shingle, and the share of common shingles that two texts need.
 KEEP_SHINGLE, KEEP_SIMILARITY = 5, 0.8
-#: Common shingles, which are looked for in one in so many rows, stand last in a text's order of shingles, most of these at
-#: most. They only decide how many pairs are compared.
-COMMON_RATE, COMMON_LEAST, COMMON_MOST = 16, 4, 1 << 20
+#: MinHash values of a text, as BANDS of ROWS each. Two texts with the share 0.8 have no band in common with a probability of
+#: (1 - 0.8 ** 4) ** 16 = 0.0002, and with the share 0.2 they have one with 0.025.
+BANDS, ROWS = 16, 4
+#: Differing bits up to which texts are compared. At the share 0.8 about 9.7 of 64 bits differ, with a deviation of 2.9.
+KEEP_RADIUS = 20
 #: A shard of more fingerprints than this is cut into trees of about this many, each asked by all parts of the shard.
 TREE_SIZE = 20_000
 #: A shard's size, which only decides how many trees it is cut into, is taken from one in so many fingerprints.
@@ -173,12 +180,9 @@ def _link(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> p
     return pa.RecordBatch.from_arrays([pa.array(fp[hit].view(np.int64)), pa.array(fp[parent[hit]].view(np.int64))], ["a", "b"])
 
 
-def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    """What task makes of the groups: every shard's trees, each with the fingerprints that ask it."""
-    members = shards(nodes, radius, shared)
-    sized = shards(nodes.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(SIZE_RATE)) == 0), radius, shared).groupBy("shard").count()
-    large = materialize(sized.withColumn("n", F.col("count") * SIZE_RATE).where(F.col("n") > tree_size)
-                        .select("shard", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")))
+def _trees(members: DataFrame, radius: int, task: Callable[..., pa.RecordBatch], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What task makes of the groups of members(fp, shard, parts, more): a shard's tree with all rows that ask it. A shard
+    that has parts is cut into so many trees, each of which is asked by every part, once for two parts."""
     part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     own = F.transform(F.sequence(part, F.col("parts") - 1), lambda j: F.struct(part.alias("tree"), j.alias("asks"), F.when(j == part, 0).otherwise(2).alias("side")))
     asked = F.when(part > 0, F.transform(F.sequence(F.lit(0), part - 1), lambda i: F.struct(i.alias("tree"), part.alias("asks"), F.lit(1).alias("side")))).otherwise(
@@ -187,25 +191,27 @@ def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Calla
     alone = F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("asks"), F.lit(0).alias("side")))
     whole = F.col("parts").isNull()
     spread = (
-        members.join(large, "shard", "left")
-        .select("fp", "shard", "parts", F.explode(F.when(whole, alone).otherwise(F.concat(own, asked))).alias("x"))
-        .select("fp", F.when(whole, F.col("shard")).otherwise(F.xxhash64("shard", "x.tree", "x.asks")).alias("g"), "x.side")
+        members.select("fp", "shard", "parts", *more, F.explode(F.when(whole, alone).otherwise(F.concat(own, asked))).alias("x"))
+        .select("fp", F.when(whole, F.col("shard")).otherwise(F.xxhash64("shard", "x.tree", "x.asks")).alias("g"), "x.side", *more)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        made = lambda g, fp, side, *rest: task(g, fp, side, radius, *rest)
         for b in batches:
-            fp, g, side = (b.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "g", "side"))
-            held.append((g, fp.view(np.uint64), side))
+            fp, g, side, *rest = (b.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "g", "side", *more))
+            if not len(g):
+                continue
+            held.append((g, fp.view(np.uint64), side, *rest))
             rows = sum(len(x[0]) for x in held)
             if rows < 50_000 or held[0][0][0] == g[-1]:
                 continue
-            g, fp, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1  # the last group may go on in the next batch
-            yield task(g[:cut], fp[:cut], side[:cut], radius)
-            held = [(g[cut:], fp[cut:], side[cut:])]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(columns[0] != g[-1])[-1]) + 1  # the last group may go on in the next batch
+            yield made(*(x[:cut] for x in columns))
+            held = [tuple(x[cut:] for x in columns)]
         if held:
-            yield task(*(np.concatenate(x) for x in zip(*held, strict=True)), radius)
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return spread.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, schema)
 
@@ -213,120 +219,105 @@ def _ask(nodes: DataFrame, radius: int, tree_size: int, shared: int, task: Calla
 def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, shared: int = SHARED) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect all fingerprints with at most radius differing bits: in each
     shard every linked fingerprint is tied to the first of its local set, so there are fewer links than rows."""
-    return _ask(nodes, radius, tree_size, shared, _link, "a long, b long")
+    sized = shards(nodes.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(SIZE_RATE)) == 0), radius, shared).groupBy("shard").count()
+    large = materialize(sized.withColumn("n", F.col("count") * SIZE_RATE).where(F.col("n") > tree_size)
+                        .select("shard", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")))
+    return _trees(shards(nodes, radius, shared).join(large, "shard", "left"), radius, _link, "a long, b long")
 
 
-def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of texts(_text) hold, sorted, and in how many of a sample they stand."""
+#: Odd factors that make BANDS * ROWS hashes of one.
+_FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingle_hashes(x.as_py(), shingle)).view("<i8") for x in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["s"])
-
-    n = texts.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
-    t = n.orderBy(F.desc("n"), "s").limit(COMMON_MOST).toArrow()
-    keys, counts = (t.column(i).to_numpy() for i in range(2))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def first_shingles(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """So many of a text's different shingles, in one order for all texts, that two alike texts have one of them in common:
-    neither lacks more of the other's shingles than the similarity allows, and one more than that is taken of each."""
-    keys, counts = common
-    often = np.zeros(len(shingles), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-        often = np.where(keys[at] == shingles, counts[at], 0)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
-
-
-def sketches(docs: DataFrame, keep: list[Column | str], text: Column, shingle: int, similarity: float) -> DataFrame:
-    """keep, fp, n (different shingles) and first (those by which alike texts meet) for every row."""
+
+def bands(different: np.ndarray) -> np.ndarray:
+    """One number for each band: of its ROWS least values among a text's shingle hashes, each multiplied by a factor."""
+    if not len(different):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(different), 4096):
+        part = different[at : at + 4096]
+        part = part ^ part >> np.uint64(31)
+        np.minimum(low, (part[None, :] * _FACTORS[:, None]).min(axis=1), out=low)
+    low = (low ^ low >> np.uint64(29)).reshape(BANDS, ROWS)
+    value = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        value = (value ^ low[:, k]) * _FACTORS[k]
+        value ^= value >> np.uint64(32)
+    return value.view(np.int64)
+
+
+def sketches(docs: DataFrame, keep: list[Column | str], text: Column, shingle: int) -> DataFrame:
+    """keep, fp, n (different shingles) and bands for every row."""
     own = docs.select(*keep, text.cast("binary").alias("_text"))
     names = [c for c in own.columns if c != "_text"]
-    sample = own.where(F.pmod(F.xxhash64("_text"), F.lit(COMMON_RATE)) == 0).select("_text")
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(sample, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, firsts = [], [], []
+            fps, sizes, found = [], [], []
             for x in b.column("_text"):
                 hashes = shingle_hashes(x.as_py(), shingle)
-                different = np.unique(hashes.view("<i8"))
+                different = np.unique(hashes)
                 fps.append(of_hashes(hashes))
                 sizes.append(len(different))
-                firsts.append(first_shingles(different, sent.value, similarity) if len(different) else different)
-            parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in firsts]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), parts], [*names, "fp", "n", "first"])
+                found.append(bands(different))
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), parts], [*names, "fp", "n", "bands"])
 
-    schema = own.select(*names).withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "first": F.array(F.lit(0).cast("long"))}).schema
+    schema = own.select(*names).withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long"))}).schema
     return own.mapInArrow(run, schema)
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """s, fp, n, lead of nodes(fp, n, first) for each first shingle that two or more have; lead is the lowest of them."""
+    """shard, fp, n, lead, lead_n of nodes(fp, n, bands) for each band that two or more have; lead is the lowest of them."""
+    rows = nodes.select("fp", "n", F.explode("bands").alias("shard"))
+    leads = materialize(rows.groupBy("shard").agg(F.min(F.struct("fp", "n")).alias("x"), F.count("*").alias("count")).where("count > 1"))
+    return join_uneven(rows, leads, "shard", "count").select("shard", "fp", "n", F.col("x.fp").alias("lead"), F.col("x.n").alias("lead_n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, several, lead = [np.zeros(0, np.int64)] * 3, False, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s, fp, n = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("s", "fp", "n"), strict=True))
-            same = s[1:] == s[:-1]
-            twice = np.concatenate(([several], same)) | np.concatenate((same, [False]))
-            starts = np.flatnonzero(np.concatenate(([True], ~same)))
-            leads = fp[starts]
-            if len(held[0]):
-                leads[0] = lead
-            leads = np.repeat(leads, np.diff(np.concatenate((starts, [len(s)]))))
-            out = np.flatnonzero(twice[:-1])  # the last row may have its like in the next batch
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (s, fp, n, leads)], ["s", "fp", "n", "lead"])
-            held, several, lead = [s[-1:], fp[-1:], n[-1:]], bool(twice[-1]), leads[-1]
-        if several:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, np.array([lead]))], ["s", "fp", "n", "lead"])
-
-    rows = nodes.select("fp", "n", F.explode("first").alias("s"))
-    return rows.repartition("s").sortWithinPartitions("s", "fp").mapInArrow(run, "s long, fp long, n long, lead long")
-
-
-def similar(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], similarity: float, tree_size: int) -> DataFrame:
-    """Pairs (a, b) of nodes(fp, n, first) that connect all alike ones; check keeps the alike of given pairs.
-
-    Links from the BK-trees, and of those that meet in a shingle each with the lowest, are compared first. Then all pairs that meet and that are in
-    different classes yet are compared, so that a large group of near copies takes few comparisons and none is missed."""
-    met = materialize(meetings(nodes))
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9)
-    leads = met.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
-    tried = materialize(links(nodes.select("fp"), RADIUS, tree_size).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(leads).distinct())
+
+def _apart(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, n: np.ndarray, root: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Pairs of a group within the radius whose classes differ and whose numbers of shingles allow the similarity."""
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in _pairs(group, fp, side, radius):
+        may = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+        a, b = fp[a[may]].view(np.int64), fp[b[may]].view(np.int64)
+        found.append(np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1))
+    return pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(found, axis=1), axis=1))), ["a", "b"])
+
+
+def similar(nodes: DataFrame, met: DataFrame, check: Callable[[DataFrame], DataFrame], similarity: float, tree_size: int) -> DataFrame:
+    """Pairs (a, b) that connect all alike ones of nodes that met; check keeps the alike of given pairs.
+
+    Of those that meet in a shard each is first compared with the lowest. Then the BK-tree of every shard that holds several
+    classes yet is searched for pairs of different classes, and these are compared. So a large group of near copies takes
+    few comparisons, and no pair within the radius is left out."""
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= KEEP_RADIUS
+    fits = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * F.lit(similarity) - F.lit(1e-6)
+    tried = materialize(met.where((F.col("fp") != F.col("lead")) & near & fits).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct())
     sure = materialize(check(tried))
     of = components(sure)
-    classed = materialize(met.drop("lead").join(of, F.col("fp") == F.col("node"), "left").select("s", "fp", "n", F.coalesce("root", "fp").alias("root")))
-    open_ = classed.groupBy("s", "root").count().groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("x")).where("roots > 1")
-    left = materialize(classed.join(open_.select("s", F.col("x.root").alias("main")), "s"))
-    # One of a pair in different classes is outside the shingle's largest class.
-    x = left.where("root <> main").select("s", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "main")
-    y = left.select("s", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = x.join(y, "s").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & fits(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    classed = materialize(met.select("shard", "fp", "n").join(of, F.col("fp") == F.col("node"), "left").select("shard", "fp", "n", F.coalesce("root", "fp").alias("root")))
+    open_ = classed.groupBy("shard").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("count")).where("open")
+    left = materialize(classed.join(open_.select("shard", F.when(F.col("count") > tree_size, F.ceil(F.col("count") / tree_size).cast("int")).alias("parts")), "shard"))
+    pairs = _trees(left, KEEP_RADIUS, lambda *x: _apart(*x, similarity), "a long, b long", ("n", "root")).distinct().join(tried, ["a", "b"], "left_anti")
     return sure.unionByName(check(materialize(pairs)))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts(fp, _text) share at least that part of their different shingles,
-    which are told apart by 32 bits of their XXH64."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp and own, the different shingles of texts(fp, _text), told apart by 32 bits of their XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = (np.unique(shingle_hashes(x.as_py(), shingle).astype("<u4")).tobytes() for x in b.column("_text"))
             yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], ["fp", "own"])
 
-    own = materialize(texts.mapInArrow(run, "fp long, own binary"))
+    return texts.mapInArrow(run, "fp long, own binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets(fp, own) share at least that part of their shingles."""
     both = (
-        pairs.join(own.withColumnsRenamed({"fp": "a", "own": "x"}), "a").select("a", "b", "x")
-        .join(own.withColumnsRenamed({"fp": "b", "own": "y"}), "b").select("a", "b", "x", "y")
+        pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").select("a", "b", "x")
+        .join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b").select("a", "b", "x", "y")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +334,20 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node with an edge, by alternating large and small stars.
-    Each step only takes minima over a node's neighbours, so that a node with very many of them is summed in parts."""
+    Each step only takes minima over a node's neighbours, so that a node with very many of them is summed in parts. A
+    round is one job, which also sums what it writes: when nothing changes, every node is tied to its root."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = materialize(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        after = materialize(small.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        release(e)
+        e, now = after, (seen.get["n"], seen.get["h"])
         if now == before:
             break
         before = now
@@ -389,20 +382,20 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """The rows of docs, all columns, without those that another row of their group makes superfluous.
 
     A group is what links connect. Texts of equal fingerprints are linked (blank and null ones too); others, if they share
-    that part of their different shingles, however far apart their fingerprints are. The row with the group's smallest id
-    stays (a null id comes last); of rows that share it, the one whose key hashes lowest, and one of repeated rows. An
-    empty table stays empty."""
+    that part of their different shingles, which is checked on the whole texts, however long they are. They are found if a
+    MinHash band is equal and at most KEEP_RADIUS bits differ; of pairs at the similarity itself about one in 2,000 is
+    missed by that. The row with the group's smallest id stays (a null id comes last); of rows that share it, the one whose
+    key hashes lowest, and one of repeated rows. An empty table stays empty."""
     keyed = docs.select(*row_keys(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), packed(docs))
-    marked = materialize(sketches(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text], shingle, similarity))
-    shown = materialize(marked.groupBy("fp").agg(F.min(F.struct("_k1", "_k2", "n", "first")).alias("k")).select("fp", "k.*"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        keys = shown.join(used, "fp").select("fp", "_k1", "_k2")
-        texts = keyed.join(keys, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "fp"]).select("fp", F.col("_row")[text].cast("binary").alias("_text"))
-        return materialize(alike(pairs, texts, shingle, similarity))
-
-    of = classes(marked.select("id", "fp"), lambda nodes: similar(shown, check, similarity, tree_size)).select("fp", "root")
+    marked = materialize(sketches(keyed, ["_k1", "_k2", F.col("_row")[doc_id].alias("id")], F.col("_row")[text], shingle))
+    shown = materialize(marked.groupBy("fp").agg(F.min(F.struct("_k1", "_k2", "n", "bands")).alias("k")).select("fp", "k.*"))
+    met = materialize(meetings(shown))
+    used = shown.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "_k1", "_k2")
+    texts = keyed.join(used, ["_k1", "_k2"]).select("fp", F.col("_row")[text].cast("binary").alias("_text"))
+    sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["fp"]))
+    of = classes(marked.select("id", "fp"), lambda nodes: similar(shown, met, lambda pairs: materialize(alike(pairs, sets, similarity)), similarity, tree_size)).select("fp", "root")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
-    first = marked.join(of, "fp").groupBy("root").agg(F.min(order).alias("k")).select("k._k1", "k._k2")
-    return keyed.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    first = materialize(marked.join(of, "fp").groupBy("root").agg(F.min(order).alias("k")).select("k._k1", "k._k2"))
+    release(shown, met, sets)
+    # Repeated rows go before they meet in a task.
+    return keyed.dropDuplicates(["_k1", "_k2"]).join(first, ["_k1", "_k2"], "left_semi").select("_row.*")
