@@ -12,8 +12,6 @@ from .common import materialize
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name a visit and not a page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-#: Slices of the time span; the records of one URL are searched slice by slice, in as many tasks.
-SLICES = 1024
 
 
 def canonical_url(url: Column) -> Column:
@@ -27,46 +25,66 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_before(records: DataFrame) -> DataFrame:
-    """record_id, response_id, and the response's etag and last_modified, of each revisit in records(canon, ts,
-    record_id, revisit, etag, last_modified) that has an earlier response. Within a slice of time a window finds it;
-    what a slice begins with is the last response of the slices before, found over one row a slice."""
-    span = records.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    low, width = span.a or 0, max(1, -(-((span.b or 0) - (span.a or 0) + 1) // SLICES))
-    sliced = records.withColumn("slice", F.floor((F.col("ts") - low) / width))
-    response = F.when(~F.col("revisit"), F.struct("ts", "record_id", "etag", "last_modified"))
-    lasts = sliced.groupBy("canon", "slice").agg(F.max(response).alias("r"))
+    """row, and response (key, record_id, etag, last_modified) of each revisit in records(row, key, record_id, canon, ts,
+    revisit, etag, last_modified) that has an earlier response.
+
+    Records are dealt by ranges of (URL, time), which hold equally many rows however they lie in time. Within a range a
+    window finds a revisit's response; what a range begins with is the last response of the URL in the ranges before,
+    found over one row for each range and URL."""
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    response = F.when(~F.col("revisit"), F.struct("ts", "record_id", "key", "etag", "last_modified"))
+    ranged = materialize(records.repartitionByRange(n, "canon", "ts", F.col("revisit").desc(), "record_id", "row").withColumn("slice", F.spark_partition_id()))
+    lasts = ranged.groupBy("canon", "slice").agg(F.max(response).alias("r"))
     carried = lasts.select("canon", "slice", F.last("r", ignorenulls=True).over(Window.partitionBy("canon").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    order = Window.partitionBy("canon", "slice").orderBy("ts", F.col("revisit").desc(), "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    within = sliced.withColumn("r", F.last(response, ignorenulls=True).over(order)).where("revisit").select("record_id", "canon", "slice", "r")
-    found = within.join(carried, ["canon", "slice"], "left").select("record_id", F.coalesce("r", "before").alias("r"))
-    return found.where("r IS NOT NULL").select("record_id", F.col("r.record_id").alias("response_id"), F.col("r.etag").alias("response_etag"), F.col("r.last_modified").alias("response_last_modified"))
+    order = Window.partitionBy("canon", "slice").orderBy("ts", F.col("revisit").desc(), "record_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.withColumn("r", F.last(response, ignorenulls=True).over(order)).where("revisit").select("row", "canon", "slice", "r")
+    found = within.join(carried, ["canon", "slice"], "left").select("row", F.coalesce("r", "before").alias("response"))
+    return found.where("response IS NOT NULL")
+
+
+def _headers(headers: Column) -> Column:
+    """The headers by name in lower case, as HTTP compares names; of names that only differ in case the last in the order
+    of their spelling counts."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    lower = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(lower, lambda e, i: ~F.exists(F.slice(lower, i + 2, F.size(lower)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """One row for each revisit of records(record_id, url, ts, revisit, headers, payload): record_id, canonical_url,
-    outcome, response_id, headers, payload.
+    """One row for each revisit row of records(record_id, url, ts, revisit, headers, payload): record_id, canonical_url,
+    outcome, response_id, headers (names in lower case), payload.
 
     outcome is "resolved" where entity tags, or else modification dates, of both records are there and equal;
     "mismatch" where they differ; "unchecked" where there is none to compare; "no_response" where no response of the
     URL is earlier (of equal times none is; of responses at one time the largest id counts). Resolved and unchecked
-    revisits get the response's payload and headers, with permitted headers replaced by the revisit's. A null URL or
-    time has no earlier response; null headers are none. Record ids are unique; rows that repeat one give rows for each.
-    An empty table gives an empty result; other columns are left out. Payloads are shuffled once, and only to the
-    revisits that take them."""
-    header = lambda name: F.element_at(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.lit(name))
-    small = materialize(records.select("record_id", canonical_url(F.col("url")).alias("canon"), "ts", F.coalesce("revisit", F.lit(False)).alias("revisit"), header("etag").alias("etag"), header("last-modified").alias("last_modified"), F.when(F.coalesce("revisit", F.lit(False)), F.col("headers")).alias("own")))
+    revisits get the response's payload and headers, with permitted headers replaced by the revisit's. Header names have
+    no case. A null URL or time has no earlier response; null headers are none. Repeated revisit rows give a row each,
+    and a repeated response counts once; of different responses that share id and time one counts. An empty table gives
+    an empty result; other columns are left out. Payloads, however long, are shuffled once, and only to the revisits that
+    take them; where very many take one response, Spark splits the join's skewed side."""
+    revisit = F.coalesce("revisit", F.lit(False))
+    # Names a response by all it holds, so that repeated rows share the key; payloads are read for it and not moved.
+    held = ("record_id", "url", "ts", F.to_json(F.array_sort(F.map_entries("headers"))), "payload")
+    key = F.when(~revisit, F.concat_ws("/", *[F.xxhash64(F.lit(k), *held).cast("string") for k in (1, 2)]))
+    keyed = records.select("record_id", "url", "ts", revisit.alias("revisit"), F.when(F.col("headers").isNotNull(), _headers(F.col("headers"))).alias("headers"), "payload", key.alias("key"))
+    get = lambda name: F.element_at("headers", F.lit(name))
+    small = materialize(keyed.select(
+        F.monotonically_increasing_id().alias("row"), "key", "record_id", canonical_url(F.col("url")).alias("canon"), "ts", "revisit",
+        get("etag").alias("etag"), get("last-modified").alias("last_modified"), F.when(F.col("revisit"), F.col("headers")).alias("own"),
+    ))
     found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL"))
-    tag = F.when(F.col("etag").isNotNull() & F.col("response_etag").isNotNull(), F.col("etag") == F.col("response_etag"))
-    date = F.when(F.col("last_modified").isNotNull() & F.col("response_last_modified").isNotNull(), F.col("last_modified") == F.col("response_last_modified"))
-    same = F.coalesce(tag, date)
-    outcome = F.when(F.col("response_id").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    judged = materialize(small.where("revisit").join(found, "record_id", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), "response_id", "own"))
+    both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) == F.col(b))
+    same = F.coalesce(both("etag", "response.etag"), both("last_modified", "response.last_modified"))
+    outcome = F.when(F.col("response").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
+    judged = materialize(small.where("revisit").join(found, "row", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), F.col("response.record_id").alias("response_id"), F.col("response.key").alias("key"), "own"))
     takes = judged.where(F.col("outcome").isin("resolved", "unchecked"))
-    full = records.where(~F.coalesce("revisit", F.lit(False))).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload")
+    taken = takes.select("key").distinct()
+    full = keyed.where("key IS NOT NULL").select("key", F.col("headers").alias("stored"), "payload").join(taken, "key", "left_semi").dropDuplicates(["key"])
     none = F.create_map().cast("map<string,string>")
     new = F.map_filter(F.coalesce("own", none), lambda k, _: k.isin(*PERMITTED))
     old = F.map_filter(F.coalesce("stored", none), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    merged = takes.join(full, "response_id").select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
+    merged = takes.join(full, "key").select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
     left = judged.where(~F.col("outcome").isin("resolved", "unchecked")).select("record_id", "canonical_url", "outcome", "response_id", F.col("own").alias("headers"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"))
     return merged.unionByName(left)
 
@@ -74,16 +92,18 @@ def resolve(records: DataFrame) -> DataFrame:
 def crawl_of(pages: DataFrame) -> DataFrame:
     """A crawl log derived from pages(page_id, url, html): each page as a full response at time 10 * page_id, and for
     every second page a later visit, by another spelling of its URL, that the server answered with "not modified". One
-    visit in ten has another entity tag, and one in fourteen comes before the page's response."""
-    tag = F.md5("html")
-    p = F.col("page_id")
+    visit in ten has another entity tag, and one in fourteen comes before the page's response. Header names are spelt in
+    several ways, and one page in six and one visit in eight stands twice in the log."""
+    tag, p = F.md5("html"), F.col("page_id")
+    spelt = lambda upper, lower: F.when(p % 3 == 0, upper).otherwise(lower)
     responses = pages.select(
         (2 * p).alias("record_id"), "url", (10 * p).alias("ts"), F.lit(False).alias("revisit"),
-        F.create_map(F.lit("etag"), tag, F.lit("date"), (10 * p).cast("string"), F.lit("content-length"), F.octet_length("html").cast("string")).alias("headers"), F.col("html").alias("payload"),
+        F.create_map(spelt("ETag", "etag"), tag, spelt("Date", "date"), (10 * p).cast("string"), F.lit("Content-Length"), F.octet_length("html").cast("string")).alias("headers"), F.col("html").alias("payload"),
     )
     visits = pages.where(p % 2 == 0).select(
         (2 * p + 1).alias("record_id"), F.concat(F.regexp_replace("url", r"#.*$", ""), F.when(F.col("url").contains("?"), F.lit("&utm_source=again#top")).otherwise(F.lit("?utm_source=again#top"))).alias("url"),
         (10 * p + F.when(p % 14 == 0, -5).otherwise(5003)).alias("ts"), F.lit(True).alias("revisit"),
-        F.create_map(F.lit("etag"), F.when(p % 10 == 0, F.md5(F.concat("html", F.lit("x")))).otherwise(tag), F.lit("date"), (10 * p + 5003).cast("string"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("payload"),
+        F.create_map(spelt("Etag", "ETAG"), F.when(p % 10 == 0, F.md5(F.concat("html", F.lit("x")))).otherwise(tag), F.lit("date"), (10 * p + 5003).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("payload"),
     )
-    return responses.unionByName(visits)
+    times = lambda df, twice: df.select("*", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_again")).drop("_again")
+    return times(responses, F.col("record_id") % 12 == 0).unionByName(times(visits, F.col("record_id") % 16 == 1))

@@ -39,20 +39,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
 FROM ruled LEFT JOIN v USING (source)
 """
 
-OP4 = """
-WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 12 AS cell FROM documents),
+
+
+def op4(limit: int) -> str:
+    """A bucket is the shortest prefix of the key's MD5 bits within the limit or with one hash; one hash over the limit
+    is cut into pages."""
+    word = lambda k: f"lpad(bin(('0x' || substr(m, {k}, 8))::BIGINT), 32, '0')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS digest,
+    md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+b AS (SELECT doc_id, n_bytes, digest, {" || ".join(word(k) for k in (1, 9, 17, 25))} AS bits FROM d),
 levels AS (
-  SELECT l.depth, cell >> (20 - l.depth) AS prefix, sum(n_bytes) AS bytes, count(*) AS docs
-  FROM d, (SELECT unnest(range(0, 21))::INT AS depth) l GROUP BY ALL),
+  SELECT depth, left(bits, depth) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs, sum(n_bytes) > {limit} AND min(bits) <> max(bits) AS splits
+  FROM b, (SELECT unnest(range(0, 129))::INT AS depth) l GROUP BY ALL),
 leaf AS (
-  SELECT b.* FROM levels b LEFT JOIN levels p ON p.depth = b.depth - 1 AND p.prefix = b.prefix >> 1
-  WHERE (b.bytes <= 4194304 OR b.depth = 20) AND (b.depth = 0 OR p.bytes > 4194304))
-SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard,
-  depth AS shard_depth, bytes::BIGINT AS shard_bytes, docs AS shard_docs
-FROM d JOIN leaf ON leaf.prefix = d.cell >> (20 - leaf.depth)
+  SELECT c.* FROM levels c LEFT JOIN levels p ON p.depth = c.depth - 1 AND p.prefix = left(c.prefix, c.depth - 1)
+  WHERE NOT c.splits AND (c.depth = 0 OR p.splits)),
+placed AS (SELECT b.*, leaf.* FROM b JOIN leaf ON leaf.prefix = left(b.bits, leaf.depth)),
+sums AS (
+  SELECT *, 2 * n_bytes > {limit} AS large, coalesce(sum(CASE WHEN 2 * n_bytes <= {limit} THEN n_bytes ELSE 0 END) OVER w, 0) AS placed_at, count(CASE WHEN 2 * n_bytes > {limit} THEN 1 END) OVER w AS k
+  FROM placed WINDOW w AS (PARTITION BY prefix ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+named AS (SELECT *, CASE WHEN bytes <= {limit} THEN prefix WHEN large THEN prefix || '+' || k ELSE prefix || '.' || (placed_at // greatest(1, {limit} // 2))::BIGINT END AS shard FROM sums)
+SELECT doc_id, n_bytes, shard, depth AS shard_depth, (sum(n_bytes) OVER s)::BIGINT AS shard_bytes, count(*) OVER s AS shard_docs FROM named WINDOW s AS (PARTITION BY shard)
 """
 
+
 OP6 = r"""
 WITH r AS (
   SELECT 2 * page_id AS record_id, url, 10 * page_id AS ts, false AS revisit, md5(html) AS etag, (10 * page_id)::VARCHAR AS date,
@@ -60,7 +71,11 @@ WITH r AS (
   UNION ALL
   SELECT 2 * page_id + 1, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again#top',
     10 * page_id + CASE WHEN page_id % 14 = 0 THEN -5 ELSE 5003 END, true, CASE WHEN page_id % 10 = 0 THEN md5(html || 'x') ELSE md5(html) END,
-    (10 * page_id + 5003)::VARCHAR, '0', NULL FROM pages WHERE page_id % 2 = 0),
+    (10 * page_id + 5003)::VARCHAR, '0', NULL FROM pages WHERE page_id % 2 = 0
+  UNION ALL
+  SELECT 2 * page_id + 1, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again#top',
+    10 * page_id + CASE WHEN page_id % 14 = 0 THEN -5 ELSE 5003 END, true, CASE WHEN page_id % 10 = 0 THEN md5(html || 'x') ELSE md5(html) END,
+    (10 * page_id + 5003)::VARCHAR, '0', NULL FROM pages WHERE page_id % 8 = 0),
 u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM r),
 c AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), ':(80|443)$', ''), '^www\.', '')
@@ -80,23 +95,24 @@ SELECT record_id, canonical_url, outcome, response_id,
 FROM j
 """
 
+#: A line's tokens fall into the leading two and up to six stretches. For each choice of stretches that may vary (none; one
+#: in lines of 4 to 7 tokens; two in longer ones), lines that are equal outside it recur if enough documents hold them.
 OP7 = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 m AS (SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{W}') AS tok FROM l),
-f AS (SELECT *, [len(tok)::VARCHAR] || tok[1:3] AS leaf FROM m WHERE len(tok) >= 3),
-t AS (SELECT leaf, tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM f GROUP BY ALL),
-rest AS (SELECT * FROM t WHERE docs < 3),
-several AS (SELECT * FROM rest WHERE leaf IN (SELECT leaf FROM rest GROUP BY leaf HAVING sum(docs) >= 3 AND count(*) > 1)),
-parts AS (SELECT *, k, 3 + ((len(tok) - 3) * k) // 4 AS lo, 3 + ((len(tok) - 3) * (k + 1)) // 4 AS hi FROM several, (SELECT unnest(range(0, 4)) AS k) WHERE len(tok) >= 8),
-general AS (SELECT tok, docs, first, [k::VARCHAR, len(tok)::VARCHAR] || tok[1:lo] || ['|'] || tok[hi + 1:] AS grp FROM parts),
-groups AS (SELECT grp, min(first) AS first FROM general GROUP BY grp HAVING sum(docs) >= 3 AND count(*) > 1),
-again AS (
-  SELECT tok, first FROM t WHERE docs >= 3 UNION ALL SELECT tok, min(groups.first) FROM general JOIN groups USING (grp) GROUP BY tok),
-lost AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM f JOIN again USING (tok) WHERE doc_id <> first GROUP BY doc_id)
+f AS (SELECT *, len(tok) AS n, least(6, len(tok) - 2) AS b FROM m WHERE len(tok) >= 3),
+k AS (SELECT unnest(range(-1, 6))::INT AS i),
+masks AS (SELECT a.i AS i, c.i AS j FROM k a, k c),
+each AS (
+  SELECT doc_id, pos, n, i, j, list_filter(tok, lambda x, p: p <= 2 OR NOT (
+    p - 3 >= (n - 2) * i // b AND p - 3 < (n - 2) * (i + 1) // b OR p - 3 >= (n - 2) * j // b AND p - 3 < (n - 2) * (j + 1) // b)) AS rest
+  FROM f, masks WHERE i = -1 AND j = -1 OR n BETWEEN 4 AND 7 AND i = j AND i >= 0 AND j < b OR n >= 8 AND i >= 0 AND i < j AND j < b),
+again AS (SELECT n, i, j, rest, min(doc_id) AS first FROM each GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN n > 50 THEN 2 ELSE 3 END),
+lost AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM each JOIN again USING (n, i, j, rest) WHERE doc_id <> first GROUP BY doc_id)
 SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text
 FROM documents LEFT JOIN lost USING (doc_id)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_warc_revisits": OP6, "op7_line_dedup": OP7}
+ORACLES = {"op1_quality_rules": OP1, "op4_sharding": op4(4 * 1024 * 1024), "op6_warc_revisits": OP6, "op7_line_dedup": OP7}
