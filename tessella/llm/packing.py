@@ -112,8 +112,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """One row for each piece of a document that a window of `length` tokens holds: doc_id, start, length, ids, ids_crc32,
     doc_tokens, sequence_id, offset. All windows are full but the last.
 
-    A null text is empty and gives the end id alone. Repeated rows, and rows without id, are packed each for itself. An
-    empty table gives an empty result; other columns are left out. First pass: tokens are written once, with each
+    A null text is empty and gives the end id alone. A very long text is cut into as many pieces as it fills windows.
+    Repeated rows, and rows without id, are packed each for itself. An empty table gives an empty result; other columns are
+    left out. What one task sums and all get is one row of 16 bytes for each task that read the input. First pass: tokens are written once, with each
     task's running total. Second pass: the tasks' totals (one row a task) are summed, and each document is cut where
     its global place crosses a multiple of the length."""
     tokens = materialize(tokenize(docs, doc_id, text, tokenizer))

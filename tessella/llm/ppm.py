@@ -221,8 +221,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Trie and word counts come from all texts whose fold is not 0. A null text is empty: it has the end token only, and
     its score is the end's probability. A null id's fold is that of the empty text. Repeated rows are learned from and
-    scored each for itself. Without training texts every byte has probability 1/256 and base_score is 0. An empty table
-    gives an empty result; other columns are left out."""
+    scored each for itself. Without training texts every byte has probability 1/256 and base_score is 0. A very long text
+    is scored whole, in blocks of documents of bounded length. No gram is dropped: a gram too rare for the memory of the
+    tasks is looked up in the tables, with the same result. An empty table gives an empty result; other columns are left
+    out."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (fold(F.col(f"`{doc_id}`"), folds) == 0).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     counts, vocabulary = learn(own.where("NOT held_out"))
