@@ -60,39 +60,51 @@ def wildcards(n: Column, leaf: Column, stretches: Column) -> Column:
     return F.transform(fit, lambda m: F.xxhash64(leaf, m["i"], m["j"], rest(m)))
 
 
+def thirds(leaf: Column, stretches: Column) -> Column:
+    """Hashes of the leaf with each third of the stretches. Lines that differ in two stretches have a third in common."""
+    return F.array(*[F.xxhash64(leaf, F.lit(k), F.slice(stretches, 2 * k + 1, 2)) for k in range(STRETCHES // 2)])
+
+
 def templates(found: DataFrame) -> DataFrame:
     """template, first (the first document's key) and docs (those that hold it) of all that recur in found(doc, n, template,
     leaf, stretches), by themselves or with others of their leaf under wildcards. A document counts once, however many of
     the templates it holds. Of a template's documents the least and the greatest are carried along: if it has more than two
-    it recurs anyway, and so do all that are alike."""
-    seen = found.groupBy("template", "leaf", "n", "doc").agg(F.lit(1).alias("one"))
-    t = materialize(seen.groupBy("template", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("low"), F.max("doc").alias("high")))
+    it recurs anyway, and so do all that are alike. Wildcards are tried where several lines share a leaf, and a third of
+    their stretches."""
+    seen = found.groupBy("template", "doc").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"))
+    t = materialize(seen.groupBy("template").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.count("*").alias("docs"), F.min("doc").alias("low"), F.max("doc").alias("high")))
     need = needed(F.col("n"))
     alone = t.where(F.col("docs") >= need).select("template", F.col("low").alias("first"))
     leaves = t.where(F.col("n") >= ONE_FIELD).groupBy("leaf", "n").agg(F.sum("docs").alias("d"), F.count("*").alias("k")).where((F.col("d") >= need) & (F.col("k") > 1)).select("leaf")
-    several = materialize(t.join(materialize(leaves), "leaf", "left_semi"))
+    several = materialize(t.join(leaves, "leaf", "left_semi"))
     hashes = found.select("template", "stretches").join(several.select("template"), "template", "left_semi").dropDuplicates(["template"])
-    each = materialize(several.join(hashes, "template").select("template", "n", "docs", "low", "high", F.explode(wildcards(F.col("n"), F.col("leaf"), F.col("stretches"))).alias("general")))
-    held = each.select("general", "n", "docs", F.explode(F.array_distinct(F.array("low", "high"))).alias("doc"))
+    each = materialize(several.join(hashes, "template"))
+    third = each.select("template", "docs", F.explode(thirds(F.col("leaf"), F.col("stretches"))).alias("third"))
+    shared = third.groupBy("third").agg(F.count("*").alias("k")).where("k > 1").select("third")
+    close = each.join(third.join(shared, "third", "left_semi").select("template").distinct(), "template", "left_semi")
+    wild = materialize(close.select("template", "n", "docs", "low", "high", F.explode(wildcards(F.col("n"), F.col("leaf"), F.col("stretches"))).alias("general")))
+    held = wild.select("general", "n", "docs", F.explode(F.array_distinct(F.array("low", "high"))).alias("doc"))
     groups = held.groupBy("general", "n").agg(F.max("docs").alias("most"), F.count_distinct("doc").alias("d"), F.min("doc").alias("first"))
     groups = groups.where(F.greatest("most", "d") >= need).select("general", "first")
-    together = each.select("template", "general").join(groups, "general").groupBy("template").agg(F.min("first").alias("first"))
+    together = wild.select("template", "general").join(groups, "general").groupBy("template").agg(F.min("first").alias("first"))
     recurring = alone.unionByName(together).groupBy("template").agg(F.min("first").alias("first"))
     result = materialize(recurring.join(t.select("template", "docs"), "template"))
-    release(t, several, each)
+    release(t, several, each, wild)
     return result
 
 
 def _dropped(keyed: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """_k1, _k2 and drop: places of the lines that go, for the documents that have any."""
-    doc = F.struct(doc_id.alias("id"), "_k1", "_k2").alias("doc")
-    found = materialize(lines(keyed, [doc], text))
-    lost = join_uneven(found.select("doc", "pos", "template"), templates(found), "template", "docs").where(F.col("doc") != F.col("first"))
-    return lost.groupBy("doc._k1", "doc._k2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    """_k1, _k2 and drop: places of the lines that go, for the documents that have any. A document is named by its id and
+    _k1, half of its key."""
+    found = materialize(lines(keyed, [F.struct(doc_id.alias("id"), "_k1").alias("doc"), "_k2"], text))
+    lost = join_uneven(found.select("doc", "_k2", "pos", "template"), templates(found), "template", "docs").where(F.col("doc") != F.col("first"))
+    dropped = materialize(lost.groupBy("doc._k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("drop")))
+    release(found)
+    return dropped
 
 
 def _cut(keyed: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    lost = materialize(_dropped(keyed, doc_id, text))
+    lost = _dropped(keyed, doc_id, text)
     every = F.split(F.coalesce(text, F.lit("")), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drop")), lambda i: F.get(F.col("_lines"), i))
     both = keyed.join(lost, ["_k1", "_k2"], "left").withColumn("_lines", F.when(F.col("drop").isNotNull(), every))
