@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns of whole texts; a line feed at the end is no match.
 TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z\z"
@@ -42,11 +43,56 @@ def text_len(s: Column) -> Column:
     return uvarint_len(F.octet_length(s).cast("long")) + F.octet_length(s)
 
 
+def unzigzag(z: Column) -> Column:
+    return F.shiftrightunsigned(z, 1).bitwiseXOR(-z.bitwiseAND(F.lit(1).cast("long")))
+
+
+def packed_int(v: Column) -> Column:
+    """Bytes of a whole number in a self-describing binary format (1, 2, 3, 5 or 9 with its tag)."""
+    fits = lambda low, high: v.between(F.lit(low), F.lit(high))
+    return F.when(fits(-32, 127), 1).when(fits(-128, 255), 2).when(fits(-(2**15), 2**16 - 1), 3).when(fits(-(2**31), 2**32 - 1), 5).otherwise(9).cast("long")
+
+
+def packed_bytes(n: Column) -> Column:
+    """The same of a text of n bytes."""
+    return (F.when(n < 32, 1).when(n < 256, 2).when(n < 65536, 3).otherwise(5) + n).cast("long")
+
+
+def packed_many(n: Column) -> Column:
+    """The same of the head of a list or object with n members."""
+    return F.when(n < 16, 1).when(n < 65536, 3).otherwise(5).cast("long")
+
+
+def packed_len(c: Column, kind: T.DataType) -> Column:
+    """The same of a value of any type; texts stand for times, dates and decimals."""
+    if isinstance(kind, T.ArrayType):
+        known = packed_many(F.size(c)) + F.aggregate(F.transform(c, lambda x: packed_len(x, kind.elementType)), F.lit(0).cast("long"), lambda a, x: a + x)
+    elif isinstance(kind, T.MapType):
+        each = F.transform(F.map_entries(c), lambda e: packed_len(e["key"], kind.keyType) + packed_len(e["value"], kind.valueType))
+        known = packed_many(F.size(c)) + F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+    elif isinstance(kind, T.StructType):
+        known = packed_many(F.lit(len(kind.fields)))
+        for f in kind.fields:
+            known = known + packed_bytes(F.lit(len(f.name.encode()))) + packed_len(c[f.name], f.dataType)
+    elif isinstance(kind, T.BooleanType):
+        known = F.lit(1).cast("long")
+    elif isinstance(kind, T.IntegralType):
+        known = packed_int(c.cast("long"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        known = F.lit(9).cast("long")
+    elif isinstance(kind, T.BinaryType):
+        known = F.octet_length(c) + F.when(F.octet_length(c) < 256, 2).when(F.octet_length(c) < 65536, 3).otherwise(5)
+    else:
+        known = packed_bytes(F.octet_length(c.cast("string")).cast("long"))
+    return F.when(c.isNull(), F.lit(1).cast("long")).otherwise(known)
+
+
 def common_prefix_len(a: Column, b: Column) -> Column:
-    """Code points that both texts begin with."""
+    """Code points that both texts begin with: bit by bit from the highest, by whether the next stretch is equal."""
     short = F.least(F.length(a), F.length(b))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(short, F.lit(1))), lambda i: (i <= short) & (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
-    return F.coalesce(F.array_min(differs) - 1, short).cast("long")
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(short, F.lit(1)))).cast("int"), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    same = lambda n, step: (n + step <= short) & (F.substr(a, n + 1, step) == F.substr(b, n + 1, step))
+    return F.when(a == b, F.length(a)).otherwise(F.aggregate(powers, F.lit(0), lambda n, step: F.when(same(n, step), n + step).otherwise(n))).cast("long")
 
 
 def timestamp_ns(s: Column) -> Column:
@@ -57,13 +103,22 @@ def timestamp_ns(s: Column) -> Column:
     return F.when(s.rlike(TIMESTAMP), F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000)), F.coalesce(fraction, F.lit(0))))
 
 
+def timestamp_text(ns: Column, digits: Column) -> Column:
+    """An RFC 3339 text in UTC again, with so many digits of the second's fraction."""
+    rest = F.pmod(ns, F.lit(1_000_000_000))
+    seconds = F.round((ns - rest) / 1_000_000_000).cast("long")
+    fraction = F.when(digits > 0, F.concat(F.lit("."), F.left(F.lpad(rest.cast("string"), 9, "0"), digits))).otherwise(F.lit(""))
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+
+
 def template_parts(s: Column) -> Column:
     """prefix, mantissa, scale, suffix and chars (of the number) of a text that EXACT allows; else null."""
-    part = lambda k: F.regexp_extract(s, TEMPLATE, k)
+    cut = F.split(F.regexp_replace(s, F.lit(TEMPLATE), F.lit("$1\u0001$2\u0001$3")), "\u0001")
+    part = lambda k: F.get(cut, F.lit(k - 1))
     number, point = part(2), F.locate(".", part(2))
     digits = F.replace(number, F.lit("."), F.lit(""))
     scale = F.when(point > 0, F.length(number) - point).otherwise(0).cast("long")
-    fits = number.rlike(EXACT) & (F.length(digits) <= DIGITS)
+    fits = (F.size(cut) == 3) & number.rlike(EXACT) & (F.length(digits) <= DIGITS)
     return F.when(fits, F.struct(part(1).alias("prefix"), digits.cast("long").alias("mantissa"), scale.alias("scale"), part(3).alias("suffix"), F.length(number).cast("long").alias("chars")))
 
 
@@ -85,6 +140,23 @@ def infer_kind(s: Column) -> Column:
     return F.when(whole, "int").when(decimal, "float").otherwise("text")
 
 
+def infer_value(s: Column) -> Column:
+    """The text as VARIANT: a number where infer_kind() says so, else the text itself."""
+    return F.when(infer_kind(s) != "text", F.try_parse_json(s)).otherwise(s.cast("variant"))
+
+
+def safe_name(path: Column) -> Column:
+    """A path's last part, characters other than letters, digits, dot, line and hyphen replaced; "archive" for none."""
+    base = F.left(F.regexp_replace(F.regexp_extract(F.coalesce(path, F.lit("")), r"[^\\/]*$", 0), r"[^\p{L}\p{N}._-]", "_"), F.lit(180))
+    return F.when(base == "", "archive").otherwise(base)
+
+
+def stem(path: Column) -> Column:
+    """safe_name() without the ending."""
+    name = F.regexp_replace(safe_name(path), r"\.[^.]+$", "")
+    return F.when(name == "", "archive").otherwise(name)
+
+
 def copy_escape(s: Column) -> Column:
     """A value as PostgreSQL's COPY writes it; null is \\N."""
     out = F.replace(s, F.lit("\\"), F.lit("\\\\"))

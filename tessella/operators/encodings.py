@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .ordering import numbered
 from .sequences import CHUNK
 
 #: Encodings in the order in which ties are settled.
@@ -18,19 +20,73 @@ DICTIONARY = 65_536
 #: Different scales up to which a template's scales are held as codes.
 SCALES = 16
 _KINDS = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "boolean": "bool", "double": "float", "float": "float", "string": "str"}
+_KEY = ["chunk", "path"]
 
 
 def long_frame(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:
-    """chunk, path, pos, kind, i (whole numbers), s (texts, and other values as text): one row for each cell. Times
-    become RFC 3339 texts. Cells of a chunk are dealt by chunk and path from here on."""
+    """chunk, path, pos, kind, i (whole numbers), d (floats), s (texts, and all other values as text), packed (bytes in a
+    self-describing format): one row for each cell, with nothing lost. Times become RFC 3339 texts, dates and decimals
+    their texts, binaries hex, arrays, maps and structs JSON. pos is the row's place in the order (any type without ties),
+    and chunks hold equally many rows."""
     cells = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind.startswith("timestamp"):
-            c, kind = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "string"
-        k = _KINDS.get(kind, "other")
-        cells.append(F.struct(F.lit(name).alias("path"), F.when(c.isNull(), "null").otherwise(k).alias("kind"), (c.cast("long") if k in ("int", "bool") else F.lit(None).cast("long")).alias("i"), (c.cast("string") if k == "str" else F.lit(None).cast("string")).alias("s")))
-    return df.select(F.floor(F.col(order) / chunk).cast("long").alias("chunk"), F.col(order).cast("long").alias("pos"), F.explode(F.array(*cells)).alias("x")).select("chunk", "pos", "x.*")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            c, kind = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), T.StringType()
+        elif isinstance(kind, (T.DateType, T.DecimalType)):
+            c, kind = c.cast("string"), T.StringType()
+        k = _KINDS.get(kind.simpleString(), "other")
+        text = c if k == "str" else F.hex(c) if isinstance(kind, T.BinaryType) else F.to_json(c) if k == "other" else F.lit(None)
+        cells.append(F.struct(
+            F.lit(f.name).alias("path"), F.when(c.isNull(), "null").otherwise(k).alias("kind"), (c.cast("long") if k in ("int", "bool") else F.lit(None).cast("long")).alias("i"),
+            (c.cast("double") if k == "float" else F.lit(None).cast("double")).alias("d"), text.cast("string").alias("s"), S.packed_len(c, kind).alias("packed"),
+        ))
+    rows = numbered(df, order, "_pos")
+    return rows.select(F.floor(F.col("_pos") / chunk).cast("long").alias("chunk"), F.col("_pos").alias("pos"), F.explode(F.array(*cells)).alias("x")).select("chunk", "pos", "x.*")
+
+
+def wide_frame(cells: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows again from the cells of long_frame(), in columns of the schema's types, beside chunk and pos."""
+    def back(f: T.StructField) -> Column:
+        kind = f.dataType
+        value = F.col("s")
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            value = F.col("i").cast(kind)
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = F.col("d").cast(kind)
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            value = F.to_timestamp(F.col("s")).cast(kind)
+        elif isinstance(kind, T.BinaryType):
+            value = F.unhex("s")
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.from_json("s", kind)
+        elif not isinstance(kind, T.StringType):
+            value = F.col("s").cast(kind)
+        return F.first(F.when(F.col("path") == f.name, F.struct(value.alias("v"))), ignorenulls=True)["v"].alias(f.name)
+
+    return cells.groupBy("chunk", "pos").agg(*[back(f) for f in schema.fields])
+
+
+def leaf_cells(cols: DataFrame) -> DataFrame:
+    """The cells of records' columns (chunk, path, pos, value): whole numbers, truth values, fractions, texts and nulls by
+    their kind; arrays and empty objects as JSON, whose length stands for their packed size."""
+    of = F.schema_of_variant("value")
+    kind = F.when(of == "BIGINT", "int").when(of == "BOOLEAN", "bool").when(of.startswith("DECIMAL") | (of == "DOUBLE") | (of == "FLOAT"), "float").when(of == "STRING", "str").when(of == "VOID", "null").otherwise("other")
+    get = lambda t: F.try_variant_get("value", "$", t)
+    rows = cols.select("chunk", F.to_json("path").alias("path"), "pos", kind.alias("kind"), "value").select(
+        "chunk", "path", "pos", "kind", F.when(F.col("kind") == "int", get("bigint")).when(F.col("kind") == "bool", get("boolean").cast("long")).alias("i"),
+        F.when(F.col("kind") == "float", get("double")).alias("d"), F.when(F.col("kind") == "str", get("string")).when(F.col("kind") == "other", F.to_json("value")).alias("s"),
+    )
+    size = F.octet_length("s").cast("long")
+    packed = F.when(F.col("kind") == "int", S.packed_int(F.col("i"))).when(F.col("kind").isin("bool", "null"), 1).when(F.col("kind") == "float", 9).when(F.col("kind") == "str", S.packed_bytes(size)).otherwise(size)
+    return rows.withColumn("packed", packed.cast("long"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """path, n, diffs: cells of each path in either frame, and those that one lacks or holds otherwise."""
+    both = a.alias("a").join(b.alias("b"), ["chunk", "path", "pos"], "full")
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("kind", "i", "d", "s")])
+    return both.groupBy("path").agg(F.count("*").alias("n"), F.count(F.when(~same, 1)).alias("diffs"))
 
 
 def column_kinds(cells: DataFrame) -> DataFrame:
@@ -38,10 +94,8 @@ def column_kinds(cells: DataFrame) -> DataFrame:
     return cells.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
 
 
-#: Ways to hold whole numbers; the cheapest is taken where an encoding holds numbers of its own.
-_WAYS = ("", "_delta", "_delta2")
-#: The numbers of a column: its own, those of times, of decimal texts, and of numbers within texts.
-_NUMBERS = ("i", "ns", "u", "m")
+#: Ways to hold whole numbers and their names; the cheapest is taken where an encoding holds numbers of its own.
+_WAYS = {"": "ints", "_delta": "intdelta", "_delta2": "intdelta2"}
 
 
 def _steps(name: str, w: Window) -> list[Column]:
@@ -51,83 +105,142 @@ def _steps(name: str, w: Window) -> list[Column]:
     return [F.when(before.isNull(), x).otherwise(d).alias(f"{name}_delta"), F.when(before.isNull(), x).when(two.isNull(), d).otherwise(F.try_subtract(d, was)).alias(f"{name}_delta2")]
 
 
-def _least(name: str) -> Column:
-    """Bytes of the cheapest way for a number; null where none holds all cells."""
-    return F.least(*[F.col(name + way) for way in _WAYS])
+def _sums(names: tuple[str, ...]) -> list[Column]:
+    """Bytes of each way for each number; null where it can't hold all cells."""
+    return [F.when(F.count(c) == F.count("*"), F.sum(S.varint_len(F.col(c)))).alias(c) for name in names for c in (name + way for way in _WAYS)]
 
 
-def statistics(cells: DataFrame) -> DataFrame:
-    """One row for each chunk and path, with all sums that costs need: two shuffles, by cell order and by value."""
-    w = Window.partitionBy("chunk", "path").orderBy("pos")
-    i, s, before, text = F.col("i"), F.col("s"), F.lag("i").over(w), F.lag("s").over(w)
-    seen = F.lag("pos").over(w).isNotNull()
-    steps = cells.select(
-        "*", F.when(s.rlike(S.UNSIGNED) & (F.length(s) <= S.DIGITS), s.cast("long")).alias("u"), S.template_parts(s).alias("t"),
-        (seen & i.eqNullSafe(before) & s.eqNullSafe(text)).alias("same"), F.when(text.isNotNull(), S.common_prefix_len(text, s)).otherwise(F.lit(0)).alias("lcp"), S.timestamp_ns(s).alias("ns"), S.ipv4_number(s).alias("ip"),
-    )
-    steps = steps.withColumn("m", F.col("t.mantissa"))
-    steps = steps.select("*", *[x for name in _NUMBERS for x in _steps(name, w)])
+def _runs_and_firsts(steps: DataFrame, value: str, w: Window) -> DataFrame:
+    """run_n, the length of a run, on its last cell; first, true on the first cell of each different value."""
     run = F.sum(F.when(F.col("same"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    steps = steps.withColumn("run", run)
-    last = F.lead("same").over(w)
-    run_len = F.row_number().over(Window.partitionBy("chunk", "path", "run").orderBy("pos")).cast("long")
-    steps = steps.withColumn("run_n", F.when(F.coalesce(~last, F.lit(True)), run_len))
-    size = F.octet_length("s").cast("long")
-    suffix = size - F.octet_length(F.left("s", F.col("lcp").cast("int")))
-    one = steps.groupBy("chunk", "path").agg(
-        F.count("*").alias("n"), F.min("kind").alias("kind"), (F.min("kind") == F.max("kind")).alias("pure"),
-        *[F.when(F.count(c) == F.count("*"), F.sum(S.varint_len(F.col(c)))).alias(c) for name in _NUMBERS for c in (name + way for way in _WAYS)],
+    steps = steps.withColumns({"run": run, "_next": F.lead("same").over(w)})
+    length = F.row_number().over(Window.partitionBy(*_KEY, "run").orderBy("pos")).cast("long")
+    first = F.row_number().over(Window.partitionBy(*_KEY, value).orderBy("pos")) == 1
+    return steps.withColumns({"run_n": F.when(F.coalesce(~F.col("_next"), F.lit(True)), length), "first": first})
+
+
+def _of_ints(cells: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*_KEY).orderBy("pos")
+    i, run_n = F.col("i"), F.col("run_n")
+    own = cells.where(F.col("kind").isin("int", "bool")).select(*_KEY, "pos", "i")
+    steps = own.select("*", F.coalesce(i == F.lag("i").over(w), F.lit(False)).alias("same"), *_steps("i", w))
+    return _runs_and_firsts(steps, "i", w).groupBy(*_KEY).agg(
+        *_sums(("i",)), F.sum(F.when(run_n.isNotNull(), S.uvarint_len(run_n) + S.uvarint_len(S.varint_len(i)) + S.varint_len(i))).alias("intrle"), F.count("run_n").alias("int_runs"),
+        F.count(F.when(F.col("first"), 1)).alias("ints_distinct"), F.sum(F.when(F.col("first"), S.varint_len(i))).alias("dict_ints"),
+    )
+
+
+def _of_texts(cells: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*_KEY).orderBy("pos")
+    s, run_n, first = F.col("s"), F.col("run_n"), F.col("first")
+    own = cells.where("kind = 'str'").select(*_KEY, "pos", "s", F.octet_length("s").cast("long").alias("size"))
+    own = own.select(
+        "*", F.when((F.length(s) <= S.DIGITS) & s.rlike(S.UNSIGNED), s.cast("long")).alias("u"), F.when(F.length(s).between(20, 30) & s.endswith("Z"), S.timestamp_ns(s)).alias("ns"),
+        S.template_parts(s).alias("t"), F.coalesce((F.length(s) <= 15) & s.rlike(S.IPV4), F.lit(False)).alias("ip"), F.lag("s").over(w).alias("before"),
+    ).withColumn("m", F.col("t.mantissa"))
+    steps = own.select("*", F.coalesce(s == F.col("before"), F.lit(False)).alias("same"), F.coalesce(S.common_prefix_len(F.col("before"), s), F.lit(0)).alias("lcp"), *[x for name in ("u", "ns", "m") for x in _steps(name, w)])
+    steps = _runs_and_firsts(steps, "s", w)
+    known = F.last(F.when(first, s), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("dict_lcp", F.when(first, F.coalesce(S.common_prefix_len(known, s), F.lit(0))))
+    rest = lambda lcp: F.col("size") - F.octet_length(F.left("s", F.col(lcp).cast("int")))
+    front = lambda lcp: S.uvarint_len(F.col(lcp)) + S.uvarint_len(rest(lcp)) + rest(lcp)
+    tail = lambda digits: F.min(F.length(s) - F.length(F.rtrim(s, F.lit(digits))))
+    return steps.groupBy(*_KEY).agg(
+        *_sums(("ns", "u", "m")),
         F.min("t.prefix").alias("p0"), F.max("t.prefix").alias("p1"), F.min("t.suffix").alias("e0"), F.max("t.suffix").alias("e1"), F.sum("t.chars").alias("digits"),
         F.size(F.collect_set("t.scale")).alias("scales"), F.sum(S.uvarint_len(F.col("t.scale"))).alias("scale_bytes"), F.size(F.collect_set(F.when(F.col("ns").isNotNull(), F.length(s)))).alias("precisions"),
-        F.min(F.length(F.regexp_extract(s, r"(?<![0-9a-f])[0-9a-f]*+\z", 0))).alias("low_hex"), F.min(F.length(F.regexp_extract(s, r"(?<![0-9A-F])[0-9A-F]*+\z", 0))).alias("high_hex"),
-        F.sum(F.when(F.col("run_n").isNotNull(), S.uvarint_len(F.col("run_n")) + S.varint_len(i))).alias("intrle"),
-        F.sum(S.text_len(s)).alias("strraw"), F.sum(F.when(F.col("run_n").isNotNull(), S.uvarint_len(F.col("run_n")) + S.text_len(s))).alias("strrle"),
-        F.sum(S.uvarint_len(F.col("lcp")) + S.uvarint_len(suffix) + suffix).alias("front"),
-        F.min("s").alias("low"), F.max("s").alias("high"), 
-        F.bool_and(F.col("ip").isNotNull()).alias("all_ip"),
-        F.bool_and(s.rlike(S.HEX)).alias("all_hex"), F.min(F.length(s)).alias("short"), F.max(F.length(s)).alias("long"), F.sum(F.length(s)).cast("long").alias("chars"),
+        tail("0123456789abcdef").alias("low_hex"), tail("0123456789ABCDEF").alias("high_hex"), F.bool_and("ip").alias("all_ip"),
+        F.sum(S.text_len(s)).alias("strraw"), F.sum(F.when(run_n.isNotNull(), S.uvarint_len(run_n) + S.text_len(s))).alias("strrle"), F.count("run_n").alias("text_runs"), F.sum(front("lcp")).alias("front"),
+        F.count(F.when(first, 1)).alias("texts_distinct"), F.sum(F.when(first, S.text_len(s))).alias("dict_raw"), F.sum(F.when(first, front("dict_lcp"))).alias("dict_front"),
+        F.min("s").alias("low"), F.max("s").alias("high"), F.min(F.length(s)).alias("short"), F.max(F.length(s)).alias("long"),
+        F.collect_list("size").alias("sizes"), F.collect_list(F.when(first, F.col("size"))).alias("dict_sizes"),
     )
-    values = cells.groupBy("chunk", "path", "i", "s").agg(F.lit(1).alias("one")).groupBy("chunk", "path").agg(F.count("*").alias("distinct"), F.sum(S.varint_len(i)).alias("dict_ints"), F.sum(S.text_len(s)).alias("dict_texts"))
-    return one.join(values, ["chunk", "path"])
+
+
+def statistics(cells: DataFrame) -> DataFrame:
+    """One row for each chunk and path, with all sums that costs need. Whole numbers and texts are dealt by chunk and path
+    once each; lists are of a chunk's cells at most."""
+    value = F.struct("i", "d", "s")
+    one = cells.groupBy(*_KEY).agg(
+        F.count("*").alias("n"), F.min("kind").alias("kind"), (F.min("kind") == F.max("kind")).alias("pure"), F.sum("packed").alias("packed"), F.max("packed").alias("most_packed"),
+        F.min(value).eqNullSafe(F.max(value)).alias("equal"),
+    )
+    return one.join(_of_ints(cells), _KEY, "left").join(_of_texts(cells), _KEY, "left")
+
+
+def _mode(name: str, order: tuple[str, ...] = ("", "_delta", "_delta2")) -> Column:
+    """total, place, bytes, label (bytes of the way's name) of the cheapest way for a number, its name's bytes included;
+    null where none holds all cells."""
+    return F.array_min(F.array(*[F.when(F.col(name + way).isNotNull(), F.struct((F.col(name + way) + len(_WAYS[way])).alias("total"), F.lit(k).alias("place"), F.col(name + way).alias("bytes"), F.lit(len(_WAYS[way])).alias("label"))) for k, way in enumerate(order)]))
+
+
+def _key(name: str, value: Column | int) -> Column:
+    """Bytes of a member of an encoding's description: its name, and its value of so many bytes."""
+    return F.lit(1 + len(name)) + value
 
 
 def candidates(stats: DataFrame) -> DataFrame:
-    """chunk, path, kind, n, enc, cost, place for every encoding that can hold the column."""
+    """chunk, path, kind, n, enc, cost (bytes of the column), meta (bytes of its description), place for every encoding that
+    can hold the column."""
     n, kind, pure = F.col("n"), F.col("kind"), F.col("pure")
-    packed = F.ceil(n * S.bits_needed(F.col("distinct")) / 8).cast("long")
-    head = S.uvarint_len(F.col("distinct"))
     prefix = S.common_prefix_len(F.col("low"), F.col("high"))
-    rest = F.col("long") - prefix
-    with_codes = lambda name, k: S.uvarint_len(_least(name)) + _least(name) + F.ceil(n * S.bits_needed(k) / 8).cast("long")
-    is_int, is_str = pure & (kind == "int"), pure & (kind == "str")
-    small = F.col("distinct") <= DICTIONARY
-    even = (F.col("short") == F.col("long")) & (F.col("long") % 2 == 0) & (F.col("long") >= 8)
+    stats = stats.withColumns({"pre": prefix, "ns_way": _mode("ns", ("_delta", "_delta2", "")), "u_way": _mode("u"), "m_way": _mode("m")})
+    stats = stats.withColumn("pre_bytes", F.octet_length(F.left("low", F.col("pre").cast("int"))).cast("long"))
+    pre, rest, pre_bytes = F.col("pre"), F.col("long") - F.col("pre"), F.col("pre_bytes")
+    codes = lambda k: F.ceil(n * S.bits_needed(k) / 8).cast("long")
+    held = lambda b: S.uvarint_len(b) + b
+    cut = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + held(x - pre_bytes))
+    even = lambda length: (F.col("short") == F.col("long")) & (length % 2 == 0) & (length >= 8)
+    hex_tail = F.greatest("low_hex", "high_hex")
+    prefixed, hexed = _key("prefix", S.packed_bytes(pre_bytes)), lambda length: _key("hexchars", S.packed_int(length)) + _key("hcase", 6)
+    texts, ints = F.col("texts_distinct"), F.col("ints_distinct")
+    # How the dictionary of texts itself is held.
+    inner = {
+        "raw": (F.lit(True), F.col("dict_raw"), F.lit(0)), "prefix": (pre > 0, cut("dict_sizes"), prefixed), "front": (F.lit(True), F.col("dict_front"), F.lit(0)),
+        "hex": (even(F.col("long")) & (hex_tail >= F.col("long")), texts * F.col("long") / 2, hexed(F.col("long"))),
+        "prefix_hex": ((pre > 0) & even(rest) & (hex_tail >= rest), texts * rest / 2, prefixed + hexed(rest)),
+    }
+    described = lambda e, m: F.lit(1) + _key("denc", 1 + len(e)) + _key("n", S.packed_int(texts)) + m
+    ways = [F.when(ok, F.struct((b.cast("long") + described(e, m)).alias("total"), F.lit(k).alias("place"), b.cast("long").alias("bytes"), described(e, m).alias("meta"))) for k, (e, (ok, b, m)) in enumerate(inner.items())]
+    stats = stats.withColumn("dict", F.when(texts.isNotNull(), F.array_min(F.array(*ways))))
+    is_int, is_str, small = pure & (kind == "int"), pure & (kind == "str"), lambda k: k <= DICTIONARY
+    counted = lambda k: _key("dcount", S.packed_int(k)) + _key("bits", 1)
+    mode = lambda name, way: _key(name, 1 + F.col(f"{way}.label"))
+    one_form = (F.col("p0") == F.col("p1")) & (F.col("e0") == F.col("e1")) & (5 * F.col("digits") >= 6 * n)
+    coded = F.col("scales") <= SCALES
+    bytes_of = lambda c: S.packed_bytes(F.octet_length(c).cast("long"))
+    none = F.lit(0)
     costs = {
-        "const": (pure & (F.col("distinct") == 1) & kind.isin("int", "str", "bool", "null"), F.lit(0).cast("long")),
-        "boolbits": (pure & (kind == "bool"), F.ceil(n / 8).cast("long")),
-        "ints": (is_int, F.col("i")), "intdelta": (is_int, F.col("i_delta")), "intdelta2": (is_int, F.col("i_delta2")),
-        "intdict": (is_int & small, head + F.col("dict_ints") + packed), "intrle": (is_int, F.col("intrle")),
-        "strraw": (is_str, F.col("strraw")), "timestamp": (is_str, with_codes("ns", F.col("precisions"))), "uintstr": (is_str, _least("u")),
-        "numtemplate": (is_str & (F.col("p0") == F.col("p1")) & (F.col("e0") == F.col("e1")) & (5 * F.col("digits") >= 6 * n), F.when(F.col("scales") <= SCALES, with_codes("m", F.col("scales"))).otherwise(S.uvarint_len(_least("m")) + _least("m") + F.col("scale_bytes"))),
-        "ipv4": (is_str & F.col("all_ip"), 4 * n), "strdict": (is_str & small, head + F.col("dict_texts") + packed), "strrle": (is_str, F.col("strrle")),
-        "hex": (is_str & F.col("all_hex") & even, (F.col("chars") / 2).cast("long")),
-        "prefix_hex": (is_str & (prefix > 0) & (F.col("short") == F.col("long")) & (rest % 2 == 0) & (rest >= 8) & (F.greatest("low_hex", "high_hex") >= rest), (n * rest / 2).cast("long")),
-        "prefix_raw": (is_str & (prefix > 0) & (F.col("strraw") == n + F.col("chars")), F.col("strraw") - n * prefix),
-        "front": (is_str, F.col("front")), "msgpack": (~pure | kind.isin("float", "other"), 9 * n),
+        "const": (pure & F.col("equal"), none, _key("value", F.col("most_packed"))), "boolbits": (pure & (kind == "bool"), F.ceil(n / 8), none),
+        "ints": (is_int, F.col("i"), none), "intdelta": (is_int, F.col("i_delta"), none), "intdelta2": (is_int, F.col("i_delta2"), none),
+        "intdict": (is_int & small(ints), held(F.col("dict_ints")) + codes(ints), counted(ints)), "intrle": (is_int, F.col("intrle"), _key("runs", S.packed_int(F.col("int_runs")))),
+        "strraw": (is_str, F.col("strraw"), none),
+        "timestamp": (is_str, held(F.col("ns_way.bytes")) + codes(F.col("precisions")), mode("tmode", "ns_way") + _key("pdict", 1 + F.col("precisions")) + _key("pbits", 1)),
+        "uintstr": (is_str, F.col("u_way.bytes"), mode("umode", "u_way")),
+        "numtemplate": (is_str & one_form, held(F.col("m_way.bytes")) + F.when(coded, codes(F.col("scales"))).otherwise(F.col("scale_bytes")),
+            _key("prefix", bytes_of("p0")) + _key("suffix", bytes_of("e0")) + mode("menc", "m_way") + F.when(coded, _key("sdict", S.packed_many(F.col("scales")) + F.col("scales")) + _key("sbits", 1)).otherwise(_key("svarint", 1))),
+        "ipv4": (is_str & F.col("all_ip"), 4 * n, none), "strdict": (is_str & small(texts), held(F.col("dict.bytes")) + codes(texts), counted(texts) + _key("dmeta", F.col("dict.meta"))),
+        "strrle": (is_str, F.col("strrle"), _key("runs", S.packed_int(F.col("text_runs")))), "hex": (is_str & even(F.col("long")) & (hex_tail >= F.col("long")), n * F.col("long") / 2, hexed(F.col("long"))),
+        "prefix_hex": (is_str & (pre > 0) & even(rest) & (hex_tail >= rest), n * rest / 2, prefixed + hexed(rest)), "prefix_raw": (is_str & (pre > 0), cut("sizes"), prefixed),
+        "front": (is_str, F.col("front"), none), "msgpack": (~pure | kind.isin("float", "other"), S.packed_many(n) + F.col("packed"), none),
     }
-    each = F.array(*[F.struct(F.lit(e).alias("enc"), F.when(F.coalesce(ok, F.lit(False)), c.cast("long")).alias("cost"), F.lit(ORDER.index(e)).alias("place")) for e, (ok, c) in costs.items()])
-    return stats.select("chunk", "path", "kind", "n", F.explode(each).alias("x")).select("chunk", "path", "kind", "n", "x.*").where("cost IS NOT NULL")
+    meta = lambda e, m: F.lit(1) + _key("enc", 1 + len(e)) + _key("n", S.packed_int(n)) + m
+    each = F.array(*[F.struct(F.lit(e).alias("enc"), F.when(F.coalesce(ok, F.lit(False)), c.cast("long")).alias("cost"), meta(e, m).cast("long").alias("meta"), F.lit(ORDER.index(e)).alias("place")) for e, (ok, c, m) in costs.items()])
+    return stats.select(*_KEY, "kind", "n", F.explode(each).alias("x")).select(*_KEY, "kind", "n", "x.*").where("cost IS NOT NULL")
 
 
 def choose(found: DataFrame) -> DataFrame:
-    """chunk, path, n, enc, cost: the cheapest candidate, the first of equals."""
-    best = found.groupBy("chunk", "path").agg(F.min_by(F.struct("enc", "cost", "n"), F.struct("cost", "place")).alias("b"))
-    return best.select("chunk", "path", "b.n", "b.enc", "b.cost")
+    """chunk, path, n, enc, cost, meta: the candidate with fewest bytes, description included, the first of equals."""
+    best = found.groupBy(*_KEY).agg(F.min_by(F.struct("enc", "cost", "meta", "n"), F.struct(F.col("cost") + F.col("meta"), "place")).alias("b"))
+    return best.select(*_KEY, "b.n", "b.enc", "b.cost", "b.meta")
 
 
 def inspect(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:
     """path, encs (those chosen in any chunk), n, bytes of every column."""
-    best = choose(candidates(statistics(long_frame(df, order, chunk))))
+    return columns_of(choose(candidates(statistics(long_frame(df, order, chunk)))))
+
+
+def columns_of(best: DataFrame) -> DataFrame:
     return best.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("enc")), ",").alias("encs"), F.sum("n").alias("n"), F.sum("cost").alias("bytes"))
 
 

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import common_prefix_len
+from .ordering import numbered
 
-#: Rows of a chunk, where the order column counts rows.
+#: Rows of a chunk.
 CHUNK = 4096
 
 
 def chunked(df: DataFrame, order: str, value: str, chunk: int = CHUNK) -> DataFrame:
-    """chunk, pos (the order column) and value."""
-    return df.select(F.floor(F.col(order) / chunk).cast("long").alias("chunk"), F.col(order).cast("long").alias("pos"), F.col(value).alias("value"))
+    """chunk, pos (the row's place in the order) and value. Chunks hold equally many rows whatever the order column holds."""
+    rows = numbered(df.select(F.col(order).alias("_order"), F.col(value).alias("value")), "_order", "pos")
+    return rows.select(F.floor(F.col("pos") / chunk).cast("long").alias("chunk"), "pos", "value")
 
 
 def by_pos(*more: str) -> Window:
@@ -79,6 +81,17 @@ def front_coded(c: DataFrame) -> DataFrame:
     return c.select("chunk", "pos", "value", shared).withColumn("suffix", F.expr("substring(value, CAST(shared AS INT) + 1)"))
 
 
+def front_decoded(coded: DataFrame) -> DataFrame:
+    """chunk, pos, value back from front_coded()'s shared and suffix. A value is its suffix behind what the nearest earlier
+    rows leave of theirs, so each chunk, whose size is bounded, is folded in order within one row."""
+    row = F.struct("pos", "shared", "suffix")
+    start = F.array().cast("array<struct<pos:bigint,value:string>>")
+    before = lambda a, n: F.left(F.coalesce(F.get(a, F.size(a) - 1)["value"], F.lit("")), n)
+    step = lambda a, x: F.array_append(a, F.struct(x["pos"].alias("pos"), F.concat(before(a, x["shared"].cast("int")), x["suffix"]).alias("value")))
+    rows = coded.groupBy("chunk").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step).alias("x"))
+    return rows.select("chunk", F.explode("x").alias("x")).select("chunk", "x.pos", "x.value")
+
+
 def common_prefix(c: DataFrame) -> DataFrame:
     """chunk and prefix of all values: what the least and the greatest have in common."""
     ends = c.groupBy("chunk").agg(F.min("value").alias("a"), F.max("value").alias("b"))

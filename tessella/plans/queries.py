@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import codec as C
 from ..operators import encodings as E
 from ..operators import records as R
 from ..operators import sequences as Q
@@ -105,8 +104,8 @@ def bits_needed(spark, d):
 
 @query
 def cardinality(spark, d):
-    cells = E.long_frame(table(spark, d, "customer").drop("c_acctbal"), "c_custkey")
-    return cells.groupBy("path", "i", "s").agg(F.count("*").alias("n")).groupBy("path").agg(F.count("*").alias("distinct"), F.max("n").alias("most"))
+    cells = E.long_frame(table(spark, d, "customer"), "c_custkey")
+    return cells.groupBy("path", "i", "d", "s").agg(F.count("*").alias("n")).groupBy("path").agg(F.count("*").alias("distinct"), F.max("n").alias("most"))
 
 
 @query
@@ -163,28 +162,39 @@ def ipv4_pack(spark, d):
 
 
 def event_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of several schemas, as JSON texts derived from the events."""
+    """Records of several schemas, as JSON texts derived from the events: a path that is a number, an object, an array and
+    null by turns, and records without any key."""
     e = F.col("event_id")
+    mixed = F.when(e % 4 == 0, e.cast("string")).when(e % 4 == 1, '{"deep":{"er":{"k":1}}}').when(e % 4 == 2, '[1,{"x":2}]').otherwise("null")
     text = F.concat(
         F.lit('{"id":'), e.cast("string"), F.when(e % 13 != 0, F.concat(F.lit(',"user":{"id":'), F.col("user_id").cast("string"), F.lit(',"opt":{}}'))).otherwise(""),
-        F.lit(',"type":"'), F.col("event_type"), F.lit('"'), F.when(e % 7 == 0, ',"note":null').otherwise(""), F.lit(',"props":'), F.col("props"),
+        F.lit(',"type":"'), F.col("event_type"), F.lit('"'), F.when(e % 7 == 0, ',"note":null').otherwise(""), F.lit(',"props":'), F.col("props"), F.lit(',"mix":'), mixed,
         F.when(e % 5 == 0, F.concat(F.lit(',"tags":["a",'), (e % 3).cast("string"), F.lit("]"))).otherwise(""), F.lit("}"),
     )
-    return R.parse(table(spark, d, "events").select("event_id", text.alias("t")), "event_id", "t")
+    return R.parse(table(spark, d, "events").select("event_id", F.when(e % 17 == 16, "{}").otherwise(text).alias("t")), "event_id", "t")
 
 
-def _leaves(spark, d):
+def _flat(spark, d):
     return R.flatten(event_records(spark, d))
 
 
+def _shown(leaves):
+    return R.leaves_only(leaves).select("ordinal", F.array_join("path", "/").alias("path"), F.to_json("value").alias("value"))
+
+
 @query
 def flatten_leaves(spark, d):
-    return _leaves(spark, d).select("ordinal", F.array_join("path", "/").alias("path"), F.to_json("value").alias("value"))
+    return _shown(_flat(spark, d))
 
 
 @query
 def global_paths(spark, d):
-    return R.global_paths(_leaves(spark, d)).select("path_id", F.array_join("path", "/").alias("path"))
+    return R.global_paths(_flat(spark, d)).select("path_id", F.array_join("path", "/").alias("path"))
+
+
+@query
+def record_keys(spark, d):
+    return R.record_keys(event_records(spark, d))
 
 
 def _schema_text():
@@ -193,26 +203,35 @@ def _schema_text():
 
 @query
 def schema_ids(spark, d):
-    per = R.schemas(_leaves(spark, d))
+    per = R.schemas(_flat(spark, d))
     ids = R.registry(per).drop("n")
     return per.join(ids, "paths").select("ordinal", "schema_id")
 
 
 @query
 def schema_counts(spark, d):
-    return R.registry(R.schemas(_leaves(spark, d))).select("schema_id", _schema_text().alias("schema"), "n")
+    return R.registry(R.schemas(_flat(spark, d))).select("schema_id", _schema_text().alias("schema"), "n")
 
 
 @query
 def column_positions(spark, d):
-    return R.columns(_leaves(spark, d), Q.CHUNK).select("chunk", F.array_join("path", "/").alias("path"), "pos", "ordinal")
+    return R.columns(_flat(spark, d), Q.CHUNK).select("chunk", F.array_join("path", "/").alias("path"), "pos", "ordinal")
+
+
+def _rebuilt(spark, d):
+    flat = _flat(spark, d)
+    return R.rebuild(R.schemas(flat), R.columns(flat, Q.CHUNK).drop("ordinal"), Q.CHUNK)
 
 
 @query
 def reconstruct(spark, d):
-    leaves = _leaves(spark, d)
-    back = R.rebuild(R.schemas(leaves), R.columns(leaves, Q.CHUNK).drop("ordinal"), Q.CHUNK)
-    return back.select("ordinal", F.array_join("path", "/").alias("path"), F.to_json("value").alias("value"))
+    return _shown(_rebuilt(spark, d))
+
+
+@query
+def nest_records(spark, d):
+    """Whole records again from their columns."""
+    return R.nest(_rebuilt(spark, d)).select("ordinal", F.to_json("rec").alias("canonical"))
 
 
 @query
@@ -220,11 +239,18 @@ def canonical_json(spark, d):
     return event_records(spark, d).select("ordinal", F.to_json("rec").alias("canonical"))
 
 
+@query
+def class_totals(spark, d):
+    """Records and bytes of each type of event."""
+    both = event_records(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("ordinal"), "event_type"), "ordinal")
+    return both.groupBy("event_type").agg(F.count("*").alias("records"), F.sum(F.octet_length(F.to_json("rec"))).cast("long").alias("bytes"))
+
+
 @query
 def roundtrip_diff(spark, d):
     """Leaves that differ after columnising and rebuilding, with every tenth value's last digit dropped on the way."""
-    leaves = _leaves(spark, d).select("ordinal", F.array_join("path", "/").alias("path"), F.to_json("value").alias("value"))
-    other = leaves.withColumn("value", F.when((F.col("ordinal") % 10 == 0) & (F.col("path") == "id"), F.concat("value", F.lit("0"))).otherwise(F.col("value")))
+    leaves = _shown(_flat(spark, d))
+    other = _shown(_rebuilt(spark, d)).withColumn("value", F.when((F.col("ordinal") % 10 == 0) & (F.col("path") == "id"), F.concat("value", F.lit("0"))).otherwise(F.col("value")))
     both = leaves.alias("a").join(other.alias("b"), (F.col("a.ordinal") == F.col("b.ordinal")) & (F.col("a.path") == F.col("b.path")), "full")
     return both.where(~F.col("a.value").eqNullSafe(F.col("b.value"))).select(F.coalesce("a.ordinal", "b.ordinal").alias("ordinal"), F.coalesce("a.path", "b.path").alias("path"))
 
@@ -244,12 +270,12 @@ def _costs(spark, d):
 
 @query
 def cost_int_candidates(spark, d):
-    return _costs(spark, d).where("kind = 'int'").select("chunk", "path", "enc", "cost")
+    return _costs(spark, d).where("kind = 'int'").select("chunk", "path", "enc", "cost", "meta")
 
 
 @query
 def cost_string_candidates(spark, d):
-    return _costs(spark, d).where("kind = 'str'").select("chunk", "path", "enc", "cost")
+    return _costs(spark, d).where("kind = 'str'").select("chunk", "path", "enc", "cost", "meta")
 
 
 @query
@@ -259,7 +285,7 @@ def choose_encoding(spark, d):
 
 @query
 def enc_counts(spark, d):
-    return E.choose(_costs(spark, d)).groupBy("enc").agg(F.count("*").alias("n"))
+    return E.choose(_costs(spark, d)).groupBy("enc").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "enc")
 
 
 @query
@@ -288,10 +314,13 @@ def human_bytes(spark, d):
 @query
 def schema_seq_cost(spark, d):
     """Bytes of each chunk's schema ids, bit-packed and as runs, and the cheaper of the two."""
-    per = R.schemas(_leaves(spark, d))
-    seq = Q.chunked(per.join(R.registry(per).drop("n"), "paths"), "ordinal", "schema_id")
+    return _schema_seq(R.schemas(_flat(spark, d)))
+
+
+def _schema_seq(per):
+    seq = per.join(R.registry(per).drop("n"), "paths").select(F.floor(F.col("ordinal") / Q.CHUNK).cast("long").alias("chunk"), F.col("ordinal").alias("pos"), F.col("schema_id").alias("value"))
     packed = seq.groupBy("chunk").agg(F.count("*").alias("n"), F.max("value").alias("top")).select("chunk", F.ceil(F.col("n") * S.bits_needed(F.col("top") + 1) / 8).cast("long").alias("bitpack"))
-    rle = Q.runs(seq).groupBy("chunk").agg(F.sum(S.uvarint_len(F.col("n")) + S.uvarint_len(F.col("value"))).alias("rle"))
+    rle = Q.runs(seq).groupBy("chunk").agg(F.sum(S.uvarint_len(F.col("n")) + S.uvarint_len(S.uvarint_len(F.col("value"))) + S.uvarint_len(F.col("value"))).alias("rle"))
     return packed.join(rle, "chunk").withColumn("enc", F.when(F.col("bitpack") <= F.col("rle"), "bitpack").otherwise("rle"))
 
 
@@ -299,20 +328,95 @@ def schema_seq_cost(spark, d):
 def infer_value(spark, d):
     e = F.col("event_id")
     s = F.when(e % 6 == 0, F.concat(F.lit("00"), e.cast("string"))).when(e % 6 == 1, e.cast("string")).when(e % 6 == 2, F.concat(e.cast("string"), F.lit(".5"))).when(e % 6 == 3, F.concat(e.cast("string"), F.lit(".50"))).when(e % 6 == 4, F.concat(F.lit("-"), e.cast("string"))).otherwise(F.col("event_type"))
-    return table(spark, d, "events").select("event_id", S.infer_kind(s).alias("kind"))
+    return table(spark, d, "events").select("event_id", S.infer_kind(s).alias("kind"), F.to_json(S.infer_value(s)).alias("value"))
 
 
 @query
 def copy_escape(spark, d):
-    s = F.when(F.col("page_id") % 9 == 0, F.lit(None)).otherwise(F.concat("url", F.lit("\t\\"), F.left("html", F.lit(200))))
+    s = F.when(F.col("page_id") % 9 == 0, F.lit(None)).otherwise(F.concat("url", F.lit("\t\\"), F.col("html")))
     return table(spark, d, "pages").select("page_id", S.copy_escape(s).alias("cell"))
 
 
 @query
 def encode_roundtrip(spark, d):
-    """Cells that differ after encoding to bytes and decoding."""
-    cells = _event_cells(spark, d)
-    return C.differences(cells, C.decode(C.encode(cells)))
+    """Cells that differ after the events' cells have become rows and cells again."""
+    events = table(spark, d, "events")
+    cells = E.long_frame(events, "event_id")
+    return E.differences(cells, E.long_frame(E.wide_frame(cells, events.schema).drop("chunk", "pos"), "event_id"))
+
+
+@query
+def cost_text_classes(spark, d):
+    """Costs of columns derived from the orders: a constant, truth values, digits, addresses, hex with and without a prefix,
+    codes, and numbers with gaps."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k.alias("k"), F.lit("same").alias("konst"), (k % 3 == 0).alias("flag"), (k + 1_000_000).cast("string").alias("digits"),
+        F.concat_ws(".", F.lit("10"), (F.floor(k / 65536) % 256).cast("string"), (F.floor(k / 256) % 256).cast("string"), (k % 256).cast("string")).alias("ip"),
+        F.md5(k.cast("string")).alias("hexid"), F.concat(F.lit("trace/"), F.md5(k.cast("string"))).alias("trace"), F.concat(F.lit("é-"), "o_orderpriority").alias("code"), F.when(k % 7 != 0, k).alias("gaps"), F.col("o_totalprice").alias("price"),
+    )
+    return E.candidates(E.statistics(E.long_frame(rows, "k"))).select("chunk", "path", "enc", "cost", "meta")
+
+
+#: Rows of a chunk that are tried against each other.
+GRID = (1024, 4096, 16384)
+
+
+@query
+def bench_grid(spark, d):
+    """Bytes of the events' columns and of their descriptions, by rows of a chunk."""
+    events = table(spark, d, "events")
+    runs = [E.choose(E.candidates(E.statistics(E.long_frame(events, "event_id", n)))).select(F.lit(n).cast("long").alias("chunk_rows"), "chunk", "cost", "meta") for n in GRID]
+    return E.union(runs).groupBy("chunk_rows").agg(F.count_distinct("chunk").alias("chunks"), F.sum("cost").alias("bytes"), F.sum("meta").alias("meta_bytes"))
+
+
+@query
+def bench_best(spark, d):
+    return bench_grid(spark, d).agg(F.min_by("chunk_rows", F.struct(F.col("bytes") + F.col("meta_bytes"), "chunk_rows")).alias("chunk_rows"), F.min(F.col("bytes") + F.col("meta_bytes")).alias("total"))
+
+
+@query
+def analysis_report(spark, d):
+    """One row on the events' records: how many, their schemas and fields, bytes as canonical JSON, as columns and as schema
+    ids, the encodings chosen, and whether the records came back equal."""
+    records = event_records(spark, d)
+    flat = R.flatten(records)
+    per, cols = R.schemas(flat), R.columns(flat, Q.CHUNK)
+    best = E.choose(E.candidates(E.statistics(E.leaf_cells(cols))))
+    encs = best.groupBy("enc").agg(F.count("*").alias("c")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "enc", F.col("c").cast("string")))), ",").alias("encodings"))
+    columns = best.agg(F.count_distinct("path").alias("fields"), F.sum("cost").alias("column_bytes"), F.sum("meta").alias("meta_bytes"))
+    seq = _schema_seq(per).agg(F.sum(F.least("bitpack", "rle")).alias("schema_bytes"))
+    json = records.agg(F.count("*").alias("records"), F.sum(F.octet_length(F.to_json("rec"))).cast("long").alias("json_bytes"))
+    back = R.nest(R.rebuild(per, cols.drop("ordinal"), Q.CHUNK)).withColumnRenamed("rec", "again")
+    same = records.join(back, "ordinal", "full").agg(F.bool_and(F.to_json("rec").eqNullSafe(F.to_json("again")) & F.schema_of_variant("rec").eqNullSafe(F.schema_of_variant("again"))).alias("round_trip"))
+    n_schemas = per.select("paths").distinct().agg(F.count("*").alias("schemas"))
+    out = json
+    for one in (n_schemas, columns, seq, encs, same):
+        out = out.join(F.broadcast(one))
+    return out.withColumn("per_mille", F.floor((F.col("column_bytes") + F.col("meta_bytes") + F.col("schema_bytes")) * 1000 / F.col("json_bytes")).cast("long"))
+
+
+@query
+def front_roundtrip(spark, d):
+    return Q.front_decoded(Q.front_coded(_names(spark, d)).drop("value"))
+
+
+@query
+def ts_roundtrip(spark, d):
+    """Times in nanoseconds and as text again, with as many digits as the event's number modulo ten."""
+    digits = (F.col("event_id") % 10).cast("int")
+    return _stamps(spark, d).select("event_id", S.timestamp_text(S.timestamp_ns(F.col("s")), digits).alias("s"))
+
+
+@query
+def unzigzag(spark, d):
+    v = F.col("o_custkey") - 500
+    return table(spark, d, "orders").select("o_orderkey", S.unzigzag(S.zigzag(v)).alias("v"))
+
+
+@query
+def file_names(spark, d):
+    return table(spark, d, "pages").select("page_id", S.safe_name(F.col("url")).alias("name"), S.stem(F.concat("url", F.lit(" ü.tar.gz"))).alias("stem"))
 
 
 def dump_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -396,3 +500,30 @@ def dump_roundtrip(spark, d):
     parts = X.dump_parts(lines)
     again = X.dump_text(parts).withColumnRenamed("line", "again").join(parts.select("file", "ordinal", "kind"), ["file", "ordinal"])
     return lines.join(again, ["file", "ordinal"]).groupBy("file", "kind").agg(F.count("*").alias("n"), F.count(F.when(~F.col("line").eqNullSafe(F.col("again")), 1)).alias("diffs"))
+
+
+@query
+def csv_layout(spark, d):
+    """Line ends, byte order mark and last line of the suppliers as CSV files of several dialects, found from their lines."""
+    own = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    found = []
+    for name, eol, bom in (("plain", "\n", False), ("windows", "\r\n", True)):
+        lines = X.csv_document(own, "s_suppkey", own.columns, eol=eol, bom=bom)
+        size = lines.agg((F.sum(F.octet_length("line")) + F.count("*") - (0 if bom else 1)).alias("size"))
+        found.append(T.layout(lines.join(F.broadcast(size)).select(F.lit(name).alias("file"), "ordinal", "line", "size")))
+    return E.union(found)
+
+
+@query
+def csv_byte_exact(spark, d):
+    """Whether the suppliers' CSV lines, read and written again, are the same lines."""
+    own = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(' "x", y')).alias("s_name"))
+    lines = X.csv_document(own, "s_suppkey", own.columns).select(F.lit("s.csv").alias("file"), "ordinal", "line")
+    rows = X.csv_rows(X.csv_records(lines)).select("ordinal", F.col("rec")["s_suppkey"].alias("s_suppkey"), F.col("rec")["s_name"].alias("s_name"))
+    again = X.csv_document(rows, "ordinal", ["s_suppkey", "s_name"]).select(F.lit("s.csv").alias("file"), "ordinal", "line")
+    return X.same_lines(lines, again)
+
+
+@query
+def json_array_lines(spark, d):
+    return X.json_array(event_records(spark, d)).select("ordinal", "line")

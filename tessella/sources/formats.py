@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import copy_escape, csv_cell
-from .text import SLICE, copy_rows
+from ..operators.records import record_keys
+from .text import BOM, SLICE, copy_rows, parse_json_lines, read_lines
 
 #: Delimiters that are tried, in this order, and the records that are looked at for it.
 DELIMITERS = (",", ";", "\t", "|")
@@ -170,6 +172,26 @@ def dump_text(parts: DataFrame) -> DataFrame:
     return parts.select("file", "ordinal", F.coalesce(line, "line").alias("line"))
 
 
+def csv_document(rows: DataFrame, order: str, columns: list[str], names: list[str] | None = None, delimiter: str = ",", eol: str = "\n", bom: bool = False, has_header: bool = True) -> DataFrame:
+    """ordinal and line of the rows as a CSV file: the header first (names where they differ from the columns), a byte order
+    mark before it, and a carriage return in each line where lines end so."""
+    end = F.lit("\r" if eol == "\r\n" else "")
+    body = rows.select(F.col(order).cast("long").alias("ordinal"), F.concat(csv_lines(columns, delimiter), end).alias("line"))
+    if has_header:
+        heads = F.concat_ws(delimiter, *[csv_cell(F.lit(c), delimiter) for c in names or columns])
+        body = body.unionByName(rows.agg((F.coalesce(F.min(order), F.lit(0)) - 1).cast("long").alias("ordinal")).select("ordinal", F.concat(heads, end).alias("line")))
+    if bom:
+        first = body.agg(F.min("ordinal").alias("_first"))
+        body = body.join(F.broadcast(first)).select("ordinal", F.when(F.col("ordinal") == F.col("_first"), F.concat(F.lit(BOM), "line")).otherwise(F.col("line")).alias("line"))
+    return body
+
+
+def same_lines(a: DataFrame, b: DataFrame) -> DataFrame:
+    """file, lines, equal: whether two frames of lines(file, ordinal, line) hold the same lines, byte for byte."""
+    both = a.select("file", "ordinal", F.col("line").alias("x"), F.lit(1).alias("a")).join(b.select("file", "ordinal", F.col("line").alias("y"), F.lit(1).alias("b")), ["file", "ordinal"], "full")
+    return both.groupBy("file").agg(F.count("*").alias("lines"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("x").eqNullSafe(F.col("y"))).alias("equal"))
+
+
 def write_lines(lines: DataFrame, path: str, parts: int) -> None:
     """Text files of lines(ordinal, line) that give all lines in order when read by file name. Rows are dealt by ranges
     of the order."""
@@ -179,3 +201,71 @@ def write_lines(lines: DataFrame, path: str, parts: int) -> None:
 def json_lines(records: DataFrame) -> DataFrame:
     """ordinal and line of records(ordinal, rec), keys in order."""
     return records.select("ordinal", F.to_json("rec").alias("line"))
+
+
+def json_array(records: DataFrame) -> DataFrame:
+    """ordinal and line of one JSON array: its brackets on lines of their own, a record on each other line."""
+    ends = records.agg(F.coalesce(F.min("ordinal"), F.lit(0)).cast("long").alias("a"), F.coalesce(F.max("ordinal"), F.lit(0)).cast("long").alias("b"))
+    own = json_lines(records).join(F.broadcast(ends)).select("ordinal", F.when(F.col("ordinal") < F.col("b"), F.concat("line", F.lit(","))).otherwise(F.col("line")).alias("line"))
+    return own.unionByName(ends.select((F.col("a") - 1).alias("ordinal"), F.lit("[").alias("line"))).unionByName(ends.select((F.col("b") + 1).alias("ordinal"), F.lit("]").alias("line")))
+
+
+def serialize(records: DataFrame, form: str, **dialect) -> DataFrame:
+    """ordinal and line of records in one of the formats csv, sql, jsonl, json-array and json-object (the first record). sql
+    takes the parts of a dump. CSV takes rows; records' keys make its columns where none are named."""
+    if form == "sql":
+        return dump_text(records)
+    if form == "csv":
+        if "rec" in records.columns:
+            names = dialect.pop("columns", None) or [r.key for r in record_keys(records).orderBy("key_id").collect()]
+            text = lambda k: F.when(F.try_variant_get("rec", f"$[{json.dumps(k)}]", "variant").isNotNull(), F.coalesce(F.try_variant_get("rec", f"$[{json.dumps(k)}]", "string"), F.lit("")))
+            records = records.select("ordinal", *[text(k).alias(k) for k in names])
+            dialect["columns"] = names
+        return csv_document(records, "ordinal", **dialect)
+    if form == "jsonl":
+        return json_lines(records)
+    if form == "json-array":
+        return json_array(records)
+    if form == "json-object":
+        return json_lines(records.orderBy("ordinal").limit(1))
+    raise ValueError(f"unknown format {form}")
+
+
+def read_input(spark: SparkSession, path: str, form: str | None = None) -> tuple[str, DataFrame]:
+    """The format and the records (file, ordinal, rec) of a file or folder, the same way for every format; an explicit format
+    counts more than names and content. Of sql the parts of the dump are given, of csv a map by name as rec.
+
+    An input without content, CSV without data rows, and JSON that holds anything but objects raise an error that names the
+    first bad line. A dump without data is legal. JSON that isn't in lines is parsed a file at a time."""
+    lines = read_lines(spark, path)
+    filled = lines.where(F.trim("line") != "")
+    top = filled.orderBy("file", "ordinal").first()
+    if top is None:
+        raise ValueError(f"{path}: input is empty")
+    if form is None:
+        form = spark.range(1).select(detect_format(F.lit(top.file), F.lit(top.line)).alias("f")).first().f
+    if form == "sql":
+        return form, dump_parts(lines)
+    if form == "csv":
+        delimiter = sniff_delimiter(lines.where(F.col("file") == top.file)).first().delimiter
+        rows = csv_rows(csv_records(lines, delimiter))
+        if not rows.head(1):
+            raise ValueError(f"{path}: CSV input holds no data rows")
+        return form, rows
+    parsed = parse_json_lines(lines)
+    bad = parsed.where("NOT ok").orderBy("file", "ordinal").first()
+    if bad is None:
+        return ("jsonl" if form == "jsonl" or parsed.limit(2).count() > 1 else "json-object"), parsed.select("file", "ordinal", "rec")
+    if form == "jsonl" or parsed.where(F.col("file") == bad.file).orderBy("ordinal").first().ok:
+        raise ValueError(f"{bad.file}: line {bad.ordinal + 1} is not a JSON object")
+    texts = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    whole = texts.select("file", F.when(F.btrim(F.col("text"), F.lit(" \t\r\n")).rlike(r"[}\]]\z"), F.try_parse_json("text")).alias("doc"))
+    kind = F.schema_of_variant("doc")
+    wrong = whole.where(F.col("doc").isNull() | ~(kind.startswith("ARRAY") | kind.startswith("OBJECT"))).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.file}: line {bad.ordinal + 1} is not a JSON object, and the file is neither an object nor an array of objects")
+    found = parse_json_arrays(texts)
+    if found.where("NOT ok").head(1):
+        raise ValueError(f"{path}: a top-level JSON array must contain objects")
+    objects = whole.where(kind.startswith("OBJECT")).select("file", F.lit(0).cast("long").alias("ordinal"), F.col("doc").alias("rec"))
+    return ("json-object" if not found.head(1) else "json-array"), found.select("file", "ordinal", "rec").unionByName(objects)

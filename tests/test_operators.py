@@ -37,11 +37,75 @@ def test_timestamps(spark, text, want):
     assert df.select(S.timestamp_ns(F.col("s")).alias("ns")).first().ns == want
 
 
-def test_absent_is_not_null(spark):
-    lines = [(0, '{"a":null,"b":{}}'), (1, '{"b":{"c":1}}'), (2, "{}"), (3, '{"a":[1,{"x":2}],"a.b":"t"}'), (4, "[1]"), (5, "oops")]
-    leaves = R.flatten(R.parse(spark.createDataFrame(lines, "i long, t string"), "i", "t"))
-    got = sorted((r.ordinal, tuple(r.path), r.v) for r in leaves.select("ordinal", "path", F.to_json("value").alias("v")).collect())
-    assert got == [(0, ("a",), "null"), (0, ("b",), "{}"), (1, ("b", "c"), "1"), (3, ("a",), '[1,{"x":2}]'), (3, ("a.b",), '"t"')]
+LINES = ['{"a":null,"b":{}}', '{"b":{"c":1}}', "{}", '{"a":[1,{"x":2}],"a.b":"t"}', "[1]", "oops", '{"a":{"b":{"c":{"d":1}}}}', '{"a>":{"b":{"c":{"d":1.0}}},"`<":{"k":{}}}']
+
+
+def flat_lines(spark):
+    return R.flatten(R.parse(spark.createDataFrame(list(enumerate(LINES)), "i long, t string"), "i", "t"))
+
+
+def test_absent_is_not_null_and_mixed_paths_open(spark):
+    got = sorted((r.ordinal, tuple(r.path), r.v) for r in flat_lines(spark).select("ordinal", "path", F.to_json("value").alias("v")).collect())
+    assert got == [
+        (0, ("a",), "null"), (0, ("b",), "{}"), (1, ("b", "c"), "1"), (2, (), None), (3, ("a",), '[1,{"x":2}]'), (3, ("a.b",), '"t"'),
+        (6, ("a", "b", "c", "d"), "1"), (7, ("`<", "k"), "{}"), (7, ("a>", "b", "c", "d"), "1"),
+    ]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100])
+def test_records_come_back_from_their_columns(spark, chunk):
+    flat = flat_lines(spark)
+    back = R.nest(R.rebuild(R.schemas(flat), R.columns(flat, chunk).drop("ordinal"), chunk))
+    shown = lambda df: {r.ordinal: (r.t, r.s) for r in df.select("ordinal", F.to_json("rec").alias("t"), F.schema_of_variant("rec").alias("s")).collect()}
+    assert shown(back) == shown(R.parse(spark.createDataFrame(list(enumerate(LINES)), "i long, t string"), "i", "t").where("rec IS NOT NULL"))
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "array"])
+def test_rows_are_numbered_in_ranges(spark, monkeypatch, kind):
+    from tessella.operators import ordering
+
+    monkeypatch.setattr(ordering, "ALONE", 10)
+    monkeypatch.setattr(ordering, "RANGE", 50)
+    k = F.col("id") * 977 % 5003
+    df = spark.range(3000).select({"long": k, "string": F.md5(k.cast("string")), "array": F.array(F.lit("p"), k.cast("string"))}[kind].alias("k"))
+    got = ordering.numbered(df, "k", "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(3000)) and [r.k for r in got] == sorted(r.k for r in df.collect())
+
+
+def test_sparse_and_text_keys_fill_chunks(spark):
+    df = spark.range(1000).select((F.col("id") * 4096).alias("k"), F.format_string("k%05d", "id").alias("t"), "id")
+    for key in ("k", "t"):
+        assert Q.chunked(df, key, "id").agg(F.max("chunk"), F.max("pos")).first() == (0, 999)
+        assert E.long_frame(df, key).select("chunk").distinct().count() == 1
+
+
+def test_prefixes_of_long_texts(spark):
+    pairs = [("", ""), ("a", ""), ("abc", "abd"), ("é" * 5000 + "x", "é" * 5000 + "y"), ("q" * 70_000, "q" * 70_000), ("a" * 4096, "a" * 4097), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(S.common_prefix_len(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == [0, 0, 2, 5000, 70_000, 4096, 0]
+
+
+def test_no_cell_is_lost(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    schema = "k int, f double, d date, t timestamp, n decimal(12,2), a array<double>, b binary, s struct<x:int,y:string>, m map<string,int>, o boolean, e string"
+    rows = [(k, None if k % 3 == 0 else k / 3, date(2020, 1, 1 + k), datetime(2020, 1, 1, 0, 0, k, k), Decimal(k) / 4, [k / 7], bytes([k]), (k, "é"), {"q": k}, k % 2 == 0, None) for k in range(20)]
+    df = spark.createDataFrame(rows, schema)
+    cells = E.long_frame(df, "k")
+    assert cells.where("kind <> 'null' AND i IS NULL AND d IS NULL AND s IS NULL").count() == 0
+    back = E.wide_frame(cells, df.schema).orderBy("pos").drop("chunk", "pos").collect()
+    assert back == df.orderBy("k").collect()
+    hurt = cells.withColumn("d", F.when((F.col("pos") == 4) & (F.col("path") == "f"), F.lit(0.5)).otherwise(F.col("d")))
+    assert {r.path: r.diffs for r in E.differences(cells, hurt).collect() if r.diffs} == {"f": 1}
+
+
+def test_packed_sizes(spark):
+    values = [0, -33, 128, 255, 256, -129, 2**16, -(2**15) - 1, 2**32, -(2**63)]
+    assert [r.n for r in spark.createDataFrame([(v,) for v in values], "v long").select(S.packed_int(F.col("v")).alias("n")).collect()] == [1, 2, 2, 2, 3, 3, 5, 5, 9, 9]
+    df = spark.createDataFrame([([1, 300, None], {"ab": 1.5}, (True, "é")), (None, None, None)], "a array<long>, m map<string,double>, s struct<x:boolean,y:string>")
+    sizes = df.select(*[S.packed_len(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).collect()
+    assert [tuple(r) for r in sizes] == [(1 + 1 + 3 + 1, 1 + 3 + 9, 1 + 2 + 1 + 2 + 3), (1, 1, 1)]
 
 
 @pytest.mark.parametrize("text, kind", [("0042", "text"), ("7", "int"), ("-12", "int"), ("-0", "text"), ("1.50", "text"), ("1.5", "float"), ("1e5", "text"), ("+7", "text"), ("9007199254740993", "text"), ("", "text")])
@@ -65,11 +129,15 @@ def test_candidates_for_texts_with_numbers_and_hex(spark):
     trace = costs_of(spark, [f"trace/g00000000{k * 2654435761 % 2**32:08x}" for k in range(500)])
     assert trace["prefix_hex"] == 500 * 8 // 2
     assert "hex" not in trace and "numtemplate" not in trace
-    for odd in ("a+1", "a01", "a-0", "a-0.0", "b1"):
+    for odd in ("a+1", "a01", "a-0", "a-0.0", "b1", "a\x011"):
         assert "numtemplate" not in costs_of(spark, ["a1", "a2", odd])
     assert "prefix_hex" not in costs_of(spark, ["x/0123456789abcdef", "x/f123456789ABCDEF"])
     assert costs_of(spark, ["007", "8"]).keys() >= {"strraw", "front"} and "uintstr" not in costs_of(spark, ["007", "8"])
     assert costs_of(spark, [str(10**15 + k) for k in range(100)])["uintstr"] == 8 + 99
+    assert costs_of(spark, ["é" * 100 + x for x in "ab" * 10])["prefix_raw"] == 20 * 2
+    # A dictionary that is front coded: of 300 long words with a common beginning, each once and in order.
+    words = [f"{'w' * 40}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    assert costs_of(spark, words)["strdict"] < 300 * 10
 
 
 def test_numbers_at_the_ends_of_64_bits(spark):
@@ -77,3 +145,8 @@ def test_numbers_at_the_ends_of_64_bits(spark):
     assert ends["ints"] == 10 + 10 + 1 + 10 and "intdelta" not in ends and "intdelta2" not in ends
     far = costs_of(spark, ["9999-12-31T00:00:00Z", "0001-01-01T00:00:00Z"])
     assert "timestamp" not in far and "strraw" in far
+
+
+def test_long_texts_can_be_inspected(spark):
+    df = spark.createDataFrame([(k, f"{'long text ' * 20_000}{k}") for k in range(20)], "k long, v string")
+    assert E.inspect(df, "k").where("path = 'v'").first().n == 20
