@@ -122,7 +122,7 @@ def _runs_and_firsts(steps: DataFrame, value: str, w: Window) -> DataFrame:
 def _of_ints(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy(*_KEY).orderBy("pos")
     i, run_n = F.col("i"), F.col("run_n")
-    own = cells.where(F.col("kind").isin("int", "bool")).select(*_KEY, "pos", "i")
+    own = cells.where(F.col("kind").isin("int", "bool")).select(*_KEY, "pos", "i").repartition(*_KEY)
     steps = own.select("*", F.coalesce(i == F.lag("i").over(w), F.lit(False)).alias("same"), *_steps("i", w))
     return _runs_and_firsts(steps, "i", w).groupBy(*_KEY).agg(
         *_sums(("i",)), F.sum(F.when(run_n.isNotNull(), S.uvarint_len(run_n) + S.uvarint_len(S.varint_len(i)) + S.varint_len(i))).alias("intrle"), F.count("run_n").alias("int_runs"),
@@ -133,7 +133,8 @@ def _of_ints(cells: DataFrame) -> DataFrame:
 def _of_texts(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy(*_KEY).orderBy("pos")
     s, run_n, first = F.col("s"), F.col("run_n"), F.col("first")
-    own = cells.where("kind = 'str'").select(*_KEY, "pos", "s", F.octet_length("s").cast("long").alias("size"))
+    # Dealt before anything is computed, in the way that the windows need.
+    own = cells.where("kind = 'str'").select(*_KEY, "pos", "s").repartition(*_KEY).withColumn("size", F.octet_length("s").cast("long"))
     own = own.select(
         "*", F.when((F.length(s) <= S.DIGITS) & s.rlike(S.UNSIGNED), s.cast("long")).alias("u"), F.when(F.length(s).between(20, 30) & s.endswith("Z"), S.timestamp_ns(s)).alias("ns"),
         S.template_parts(s).alias("t"), F.coalesce((F.length(s) <= 15) & s.rlike(S.IPV4), F.lit(False)).alias("ip"), F.lag("s").over(w).alias("before"),
