@@ -66,14 +66,16 @@ def resolve(records: DataFrame) -> DataFrame:
     revisit = F.coalesce("revisit", F.lit(False))
     # Names a response by all it holds, so that repeated rows share the key; payloads are read for it and not moved.
     held = ("record_id", "url", "ts", F.to_json(F.array_sort(F.map_entries("headers"))), "payload")
-    key = F.when(~revisit, F.concat_ws("/", *[F.xxhash64(F.lit(k), *held).cast("string") for k in (1, 2)]))
+    name = lambda *held: F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b"))  # noqa: E731  128 bits
+    key = F.when(~revisit, name(*held))
     keyed = records.select("record_id", "url", "ts", revisit.alias("revisit"), F.when(F.col("headers").isNotNull(), _headers(F.col("headers"))).alias("headers"), "payload", key.alias("key"))
     get = lambda name: F.element_at("headers", F.lit(name))
     small = materialize(keyed.select(
         F.monotonically_increasing_id().alias("row"), "key", "record_id", canonical_url(F.col("url")).alias("canon"), "ts", "revisit",
         get("etag").alias("etag"), get("last-modified").alias("last_modified"), F.when(F.col("revisit"), F.col("headers")).alias("own"),
     ))
-    found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL"))
+    # URLs go by their hashes here, which are shorter.
+    found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL").withColumn("canon", name("canon")))
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) == F.col(b))
     same = F.coalesce(both("etag", "response.etag"), both("last_modified", "response.last_modified"))
     outcome = F.when(F.col("response").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
