@@ -12,6 +12,8 @@ from .common import materialize
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name a visit and not a page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+#: Two columns that name a response by 128 bits of all it holds.
+KEY = ["key_a", "key_b"]
 
 
 def canonical_url(url: Column) -> Column:
@@ -25,18 +27,18 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_before(records: DataFrame) -> DataFrame:
-    """row, and response (key, record_id, etag, last_modified) of each revisit in records(row, key, record_id, canon, ts,
+    """row, and response (KEY, record_id, etag, last_modified) of each revisit in records(row, KEY, record_id, canon, ts,
     revisit, etag, last_modified) that has an earlier response.
 
     Records are dealt by ranges of (URL, time), which hold equally many rows however they lie in time. Within a range a
     window finds a revisit's response; what a range begins with is the last response of the URL in the ranges before,
     found over one row for each range and URL."""
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    response = F.when(~F.col("revisit"), F.struct("ts", "record_id", "key", "etag", "last_modified"))
+    response = F.when(~F.col("revisit"), F.struct("ts", "record_id", *KEY, "etag", "last_modified"))
     ranged = materialize(records.repartitionByRange(n, "canon", "ts", F.col("revisit").desc(), "record_id", "row").withColumn("slice", F.spark_partition_id()))
     lasts = ranged.groupBy("canon", "slice").agg(F.max(response).alias("r"))
     carried = lasts.select("canon", "slice", F.last("r", ignorenulls=True).over(Window.partitionBy("canon").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    order = Window.partitionBy("canon", "slice").orderBy("ts", F.col("revisit").desc(), "record_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("canon", "slice").orderBy("ts", F.col("revisit").desc(), "record_id", *KEY).rowsBetween(Window.unboundedPreceding, 0)
     within = ranged.withColumn("r", F.last(response, ignorenulls=True).over(order)).where("revisit").select("row", "canon", "slice", "r")
     found = within.join(carried, ["canon", "slice"], "left").select("row", F.coalesce("r", "before").alias("response"))
     return found.where("response IS NOT NULL")
@@ -66,27 +68,26 @@ def resolve(records: DataFrame) -> DataFrame:
     revisit = F.coalesce("revisit", F.lit(False))
     # Names a response by all it holds, so that repeated rows share the key; payloads are read for it and not moved.
     held = ("record_id", "url", "ts", F.to_json(F.array_sort(F.map_entries("headers"))), "payload")
-    name = lambda *held: F.struct(F.xxhash64(F.lit(1), *held).alias("a"), F.xxhash64(F.lit(2), *held).alias("b"))  # noqa: E731  128 bits
-    key = F.when(~revisit, name(*held))
-    keyed = records.select("record_id", "url", "ts", revisit.alias("revisit"), F.when(F.col("headers").isNotNull(), _headers(F.col("headers"))).alias("headers"), "payload", key.alias("key"))
+    keys = [F.when(~revisit, F.xxhash64(F.lit(k), *held)).alias(c) for k, c in enumerate(KEY)]
+    keyed = records.select("record_id", "url", "ts", revisit.alias("revisit"), F.when(F.col("headers").isNotNull(), _headers(F.col("headers"))).alias("headers"), "payload", *keys)
     get = lambda name: F.element_at("headers", F.lit(name))
     small = materialize(keyed.select(
-        F.monotonically_increasing_id().alias("row"), "key", "record_id", canonical_url(F.col("url")).alias("canon"), "ts", "revisit",
+        F.monotonically_increasing_id().alias("row"), *KEY, "record_id", canonical_url(F.col("url")).alias("canon"), "ts", "revisit",
         get("etag").alias("etag"), get("last-modified").alias("last_modified"), F.when(F.col("revisit"), F.col("headers")).alias("own"),
     ))
     # URLs go by their hashes here, which are shorter.
-    found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL").withColumn("canon", name("canon")))
+    found = latest_before(small.drop("own").where("canon IS NOT NULL AND ts IS NOT NULL").withColumn("canon", F.struct(F.xxhash64(F.lit(1), "canon").alias("a"), F.xxhash64(F.lit(2), "canon").alias("b"))))
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) == F.col(b))
     same = F.coalesce(both("etag", "response.etag"), both("last_modified", "response.last_modified"))
     outcome = F.when(F.col("response").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    judged = materialize(small.where("revisit").join(found, "row", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), F.col("response.record_id").alias("response_id"), F.col("response.key").alias("key"), "own"))
+    judged = materialize(small.where("revisit").join(found, "row", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), F.col("response.record_id").alias("response_id"), *[F.col(f"response.{c}").alias(c) for c in KEY], "own"))
     takes = judged.where(F.col("outcome").isin("resolved", "unchecked"))
-    taken = takes.select("key").distinct()
-    full = keyed.where("key IS NOT NULL").select("key", F.col("headers").alias("stored"), "payload").join(taken, "key", "left_semi").dropDuplicates(["key"])
+    taken = takes.select(*KEY).distinct()
+    full = keyed.where(~F.col("revisit")).select(*KEY, F.col("headers").alias("stored"), "payload").join(taken, KEY, "left_semi").dropDuplicates(KEY)
     none = F.create_map().cast("map<string,string>")
     new = F.map_filter(F.coalesce("own", none), lambda k, _: k.isin(*PERMITTED))
     old = F.map_filter(F.coalesce("stored", none), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    merged = takes.join(full, "key").select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
+    merged = takes.join(full, KEY).select("record_id", "canonical_url", "outcome", "response_id", F.map_concat(old, new).alias("headers"), "payload")
     left = judged.where(~F.col("outcome").isin("resolved", "unchecked")).select("record_id", "canonical_url", "outcome", "response_id", F.col("own").alias("headers"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"))
     return merged.unionByName(left)
 
