@@ -12,6 +12,8 @@ from .common import materialize
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name a visit and not a page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+#: Responses that are taken, up to which their keys (16 bytes each) are broadcast; more of them are joined by a shuffle.
+BROADCAST_TAKEN = 500_000
 #: Two columns that name a response by 128 bits of all it holds.
 KEY = ["key_a", "key_b"]
 
@@ -82,7 +84,9 @@ def resolve(records: DataFrame) -> DataFrame:
     outcome = F.when(F.col("response").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     judged = materialize(small.where("revisit").join(found, "row", "left").select("record_id", F.col("canon").alias("canonical_url"), outcome.alias("outcome"), F.col("response.record_id").alias("response_id"), *[F.col(f"response.{c}").alias(c) for c in KEY], "own"))
     takes = judged.where(F.col("outcome").isin("resolved", "unchecked"))
-    taken = takes.select(*KEY).distinct()
+    # Payloads that no revisit takes stay where they are, as long as the keys of the others may be sent to all tasks.
+    taken = materialize(takes.select(*KEY).distinct())
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken
     full = keyed.where(~F.col("revisit")).select(*KEY, F.col("headers").alias("stored"), "payload").join(taken, KEY, "left_semi").dropDuplicates(KEY)
     none = F.create_map().cast("map<string,string>")
     new = F.map_filter(F.coalesce("own", none), lambda k, _: k.isin(*PERMITTED))
