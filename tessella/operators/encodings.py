@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from .ordering import numbered
 from .sequences import CHUNK
+from .stored import materialize
 
 #: Encodings in the order in which ties are settled.
 ORDER = ("const", "boolbits", "ints", "intdelta", "intdelta2", "intdict", "intrle", "strraw", "timestamp", "uintstr", "numtemplate", "ipv4", "strdict", "strrle", "hex", "prefix_hex", "prefix_raw", "front", "msgpack")
@@ -19,8 +20,12 @@ ORDER = ("const", "boolbits", "ints", "intdelta", "intdelta2", "intdict", "intrl
 DICTIONARY = 65_536
 #: Different scales up to which a template's scales are held as codes.
 SCALES = 16
+#: Kinds of cells in order.
+_ORDERED = ("bool", "float", "int", "null", "other", "str")
 _KINDS = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "boolean": "bool", "double": "float", "float": "float", "string": "str"}
 _KEY = ["chunk", "path"]
+#: Cells that a task sorts, about, where they are dealt by chunk and path.
+DEALT = 200_000
 
 
 def long_frame(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:
@@ -116,6 +121,17 @@ def _firsts(own: DataFrame, value: str) -> DataFrame:
     return own.withColumn("first", F.row_number().over(Window.partitionBy(*_KEY, value).orderBy("pos")) == 1)
 
 
+def _with_prefixes(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """df with name, common_prefix_len() of two columns, null where one is. For texts below 64 characters the halving is written
+    out as columns, which are compiled, while functions of arrays aren't."""
+    long_, n = F.least(F.length(a), F.length(b)), F.col("_same")
+    df = df.withColumns({"_short": F.when(F.col(a) != F.col(b), F.when(long_ < 64, long_)), "_same": F.lit(0)})
+    for step in (32, 16, 8, 4, 2, 1):
+        more = (n + step <= F.col("_short")) & (F.substr(a, n + 1, F.lit(step)) == F.substr(b, n + 1, F.lit(step)))
+        df = df.withColumn("_same", F.when(more, n + step).otherwise(n))
+    return df.withColumn(name, F.when(F.col("_short").isNotNull(), n.cast("long")).otherwise(S.common_prefix_len(F.col(a), F.col(b)))).drop("_short", "_same")
+
+
 def _runs(steps: DataFrame, w: Window) -> DataFrame:
     """run_n, the length of a run, on its last cell."""
     steps = steps.withColumns({"_at": F.row_number().over(w).cast("long"), "_next": F.coalesce(F.lead("same").over(w), F.lit(False))})
@@ -123,10 +139,16 @@ def _runs(steps: DataFrame, w: Window) -> DataFrame:
     return steps.withColumn("run_n", F.when(~F.col("_next"), F.col("_at") - begin + 1))
 
 
-def _of_ints(cells: DataFrame) -> DataFrame:
+def _dealt(cells: DataFrame, tasks: int) -> DataFrame:
+    """In the way that the windows need, before anything is computed. The number is given, as tasks that are joined by the
+    bytes of their shuffle (which texts alike hardly take) would grow with the table."""
+    return cells.repartition(tasks, *_KEY)
+
+
+def _of_ints(cells: DataFrame, tasks: int) -> DataFrame:
     w = Window.partitionBy(*_KEY).orderBy("pos")
     i, run_n = F.col("i"), F.col("run_n")
-    own = cells.where(F.col("kind").isin("int", "bool")).select(*_KEY, "pos", "i").repartition(*_KEY)
+    own = _dealt(cells.where(F.col("kind").isin("int", "bool")).select(*_KEY, "pos", "i"), tasks)
     steps = _firsts(own, "i").select("*", F.coalesce(i == F.lag("i").over(w), F.lit(False)).alias("same"), *_steps("i", w))
     return _runs(steps, w).groupBy(*_KEY).agg(
         *_sums(("i",)), F.sum(F.when(run_n.isNotNull(), S.uvarint_len(run_n) + S.uvarint_len(S.varint_len(i)) + S.varint_len(i))).alias("intrle"), F.count("run_n").alias("int_runs"),
@@ -134,21 +156,21 @@ def _of_ints(cells: DataFrame) -> DataFrame:
     )
 
 
-def _of_texts(cells: DataFrame) -> DataFrame:
+def _of_texts(cells: DataFrame, tasks: int) -> DataFrame:
     w = Window.partitionBy(*_KEY).orderBy("pos")
     s, run_n, first = F.col("s"), F.col("run_n"), F.col("first")
-    # Dealt before anything is computed, in the way that the windows need.
-    own = _firsts(cells.where("kind = 'str'").select(*_KEY, "pos", "s").repartition(*_KEY), "s").withColumn("size", F.octet_length("s").cast("long"))
+    own = _firsts(_dealt(cells.where("kind = 'str'").select(*_KEY, "pos", "s"), tasks), "s").withColumn("size", F.octet_length("s").cast("long"))
     own = own.select(
         "*", F.when((F.length(s) <= S.DIGITS) & s.rlike(S.UNSIGNED), s.cast("long")).alias("u"), F.when(F.length(s).between(20, 30) & s.endswith("Z"), S.timestamp_ns(s)).alias("ns"),
         S.template_parts(s).alias("t"), F.coalesce((F.length(s) <= 15) & s.rlike(S.IPV4), F.lit(False)).alias("ip"), F.lag("s").over(w).alias("before"),
     ).withColumn("m", F.col("t.mantissa"))
-    steps = own.select("*", F.coalesce(s == F.col("before"), F.lit(False)).alias("same"), F.coalesce(S.common_prefix_len(F.col("before"), s), F.lit(0)).alias("lcp"), *[x for name in ("u", "ns", "m") for x in _steps(name, w)])
-    steps = _runs(steps, w)
+    steps = own.select("*", F.coalesce(s == F.col("before"), F.lit(False)).alias("same"), *[x for name in ("u", "ns", "m") for x in _steps(name, w)])
+    steps = _with_prefixes(_runs(steps, w), "lcp", "before", "s").withColumn("lcp", F.coalesce("lcp", F.lit(0).cast("long")))
     known = F.last(F.when(first, s), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    steps = steps.withColumn("dict_lcp", F.when(first, F.coalesce(S.common_prefix_len(known, s), F.lit(0))))
-    rest = lambda lcp: F.col("size") - F.octet_length(F.left("s", F.col(lcp).cast("int")))
-    front = lambda lcp: S.uvarint_len(F.col(lcp)) + S.uvarint_len(rest(lcp)) + rest(lcp)
+    # Where the word before in the dictionary is the text before, what they have in common is known.
+    steps = steps.withColumn("known", known).withColumn("dict_lcp", F.when(first & (F.col("known") == F.col("before")), F.col("lcp")).when(first, F.coalesce(S.common_prefix_len(F.col("known"), s), F.lit(0))))
+    steps = steps.withColumns({f"{lcp}_rest": F.col("size") - F.octet_length(F.left("s", F.col(lcp).cast("int"))) for lcp in ("lcp", "dict_lcp")})
+    front = lambda lcp: S.uvarint_len(F.col(lcp)) + S.uvarint_len(F.col(f"{lcp}_rest")) + F.col(f"{lcp}_rest")
     tail = lambda digits: F.min(F.length(s) - F.length(F.rtrim(s, F.lit(digits))))
     return steps.groupBy(*_KEY).agg(
         *_sums(("ns", "u", "m")),
@@ -164,13 +186,20 @@ def _of_texts(cells: DataFrame) -> DataFrame:
 
 def statistics(cells: DataFrame) -> DataFrame:
     """One row for each chunk and path, with all sums that costs need. Whole numbers and texts are dealt by chunk and path
-    once each; lists are of a chunk's cells at most."""
-    value = F.struct("i", "d", "s")
-    one = cells.groupBy(*_KEY).agg(
-        F.count("*").alias("n"), F.min("kind").alias("kind"), (F.min("kind") == F.max("kind")).alias("pure"), F.sum("packed").alias("packed"), F.max("packed").alias("most_packed"),
-        F.min(value).eqNullSafe(F.max(value)).alias("equal"),
-    )
-    return one.join(_of_ints(cells), _KEY, "left").join(_of_texts(cells), _KEY, "left")
+    once each, into as many tasks as their number asks for; lists are of a chunk's cells at most. The cells are written
+    first, as they are read three times."""
+    cells = materialize(cells)
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, cells.count() // DEALT + 1)
+    # Kinds as numbers in their order, and no least text here: these sums are hashed, so no task sorts its part of the file.
+    kinds = F.array(*[F.lit(k) for k in _ORDERED])
+    code, ends = F.array_position(kinds, F.col("kind")).cast("int"), [f(c).alias(f"{c}_{name}") for c in ("i", "d") for name, f in (("low", F.min), ("high", F.max))]
+    one = cells.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(code).alias("_k0"), F.max(code).alias("_k1"), F.sum("packed").alias("packed"), F.max("packed").alias("most_packed"), *ends)
+    one = one.withColumns({"kind": F.get(kinds, F.col("_k0") - 1), "pure": F.col("_k0") == F.col("_k1")})
+    others = _dealt(cells.where("kind = 'other'").select(*_KEY, "s"), tasks).groupBy(*_KEY).agg((F.min("s") == F.max("s")).alias("same_other"))
+    found = one.join(_of_ints(cells, tasks), _KEY, "left").join(_of_texts(cells, tasks), _KEY, "left").join(others, _KEY, "left")
+    same_text = F.when(F.col("kind") == "str", F.col("low").eqNullSafe(F.col("high"))).when(F.col("kind") == "other", F.col("same_other")).otherwise(True)
+    equal = F.col("i_low").eqNullSafe(F.col("i_high")) & F.col("d_low").eqNullSafe(F.col("d_high")) & same_text
+    return found.withColumn("equal", equal).drop("_k0", "_k1", "i_low", "i_high", "d_low", "d_high", "same_other")
 
 
 def _mode(name: str, order: tuple[str, ...] = ("", "_delta", "_delta2")) -> Column:

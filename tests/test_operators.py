@@ -150,3 +150,32 @@ def test_numbers_at_the_ends_of_64_bits(spark):
 def test_long_texts_can_be_inspected(spark):
     df = spark.createDataFrame([(k, f"{'long text ' * 20_000}{k}") for k in range(20)], "k long, v string")
     assert E.inspect(df, "k").where("path = 'v'").first().n == 20
+
+
+def test_varint_sizes_at_their_ends(spark):
+    values = [0, 127, 128, 2**14 - 1, 2**14, 2**49, 2**56 - 1, 2**56, 2**63 - 1, -1, None]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select(S.uvarint_len(F.col("v")).alias("n")).collect()
+    assert [r.n for r in got] == [1, 1, 2, 2, 3, 8, 8, 9, 9, 10, 1]
+
+
+def test_prefixes_as_columns(spark):
+    pairs = [("", ""), ("a", ""), ("abc", "abd"), ("é" * 62 + "x", "é" * 62 + "y"), ("é" * 63 + "x", "é" * 63 + "y"), ("q" * 64, "q" * 63), ("ab" * 20, "ab" * 40), (None, "a"), ("same", "same"), ("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = E._with_prefixes(df, "n", "a", "b").withColumn("m", S.common_prefix_len(F.col("a"), F.col("b"))).collect()
+    assert [(r.n, r.m) for r in got if r.a is not None] == [(n, n) for n in (0, 0, 2, 62, 63, 63, 40, 4, 0)]
+
+
+def test_dealt_tasks_grow_with_the_cells(spark, monkeypatch):
+    """Few bytes of many equal texts aren't put into one task."""
+    monkeypatch.setattr(E, "DEALT", 100)
+    df = spark.range(2000).select("id", F.lit("same").alias("v"))
+    stats = E.statistics(E.long_frame(df, "id", 50))
+    assert stats._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    got = E.choose(E.candidates(stats)).collect()
+    assert len(got) == 80 and {r.enc for r in got if r.path == "v"} == {"const"}
+
+
+def test_constants_of_all_kinds(spark):
+    df = spark.createDataFrame([(k, 1.5, [1, 2], None, True, 0.5 * k, [k]) for k in range(9)], "k long, f double, a array<int>, e string, o boolean, g double, h array<int>")
+    found = {r.path for r in E.candidates(E.statistics(E.long_frame(df, "k"))).where("enc = 'const'").collect()}
+    assert found == {"f", "a", "e", "o"}
