@@ -12,7 +12,7 @@ UNSIGNED = r"^(0|[1-9][0-9]*)\z"
 HEX = r"^([0-9a-f]+|[0-9A-F]+)\z"
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\z"
 #: What stands before a text's last number, the number, and what follows it.
-TEMPLATE = r"^([^\n]*?)([+-]?[0-9]+(?:\.[0-9]+)?)([^0-9]*)\z"
+TEMPLATE = r"^([^\n]*?)([+-]?[0-9]++(?:\.[0-9]++)?+)([^0-9]*+)\z"
 #: Numbers that their digits and scale give back: no plus sign, no zeros in front, no negative zero; 18 digits at most.
 EXACT = r"^(?!-[0.]*\z)-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 DIGITS = 18
@@ -25,8 +25,12 @@ def zigzag(v: Column) -> Column:
 
 
 def uvarint_len(v: Column) -> Column:
-    """Bytes of an unsigned number (64 bits, also where the sign bit is set) in groups of seven bits."""
-    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 7)).cast("long")
+    """Bytes of an unsigned number (64 bits, also where the sign bit is set) in groups of seven bits; 1 for null."""
+    v = v.cast("long")
+    size = F.when(v < 0, 10)
+    for n in range(1, 9):
+        size = size.when(v < F.lit(2 ** (7 * n)), n)
+    return size.when(v.isNull(), 1).otherwise(9).cast("long")
 
 
 def varint_len(v: Column) -> Column:
