@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ordering import numbered
+from .stored import materialize
 
 
 def parse(lines: DataFrame, ordinal: str, text: str) -> DataFrame:
     """ordinal and rec from JSON texts; a text that is no object gives a null rec."""
-    rec = F.try_parse_json(text)
-    return lines.select(F.col(ordinal).cast("long").alias("ordinal"), F.when(F.schema_of_variant(rec).startswith("OBJECT"), rec).alias("rec"))
+    # A text that is JSON is an object if it begins with a brace; so each text is parsed once and its schema isn't asked for.
+    opened = F.ltrim(F.col(text), F.lit(" \t\r\n")).startswith("{")
+    return lines.select(F.col(ordinal).cast("long").alias("ordinal"), F.try_parse_json(F.when(opened, F.col(text))).alias("rec"))
 
 
 def _nesting(schema: Column) -> Column:
@@ -28,8 +30,8 @@ def _nesting(schema: Column) -> Column:
 
 
 def depth(records: DataFrame) -> int:
-    """Levels of objects at most in any record, each looked at by itself."""
-    return records.agg(F.max(_nesting(F.schema_of_variant("rec")))).first()[0] or 1
+    """Levels of objects at most in any record; records that are alike are looked at once."""
+    return records.select(F.schema_of_variant("rec").alias("schema")).distinct().agg(F.max(_nesting(F.col("schema")))).first()[0] or 1
 
 
 def flatten(records: DataFrame) -> DataFrame:
@@ -38,12 +40,17 @@ def flatten(records: DataFrame) -> DataFrame:
     opened level by level within one pass, each record to its own depth, whatever others hold at the same path."""
     spark = records.sparkSession
     levels = depth(records)
-    opens = lambda value: F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False)) & (F.to_json(value) != "{}")
-    at = spark.sql("SELECT r.ordinal, CASE WHEN e.key IS NULL THEN CAST(array() AS array<string>) ELSE array(e.key) END AS path, e.value FROM {r} r, LATERAL variant_explode_outer(r.rec) e", r=records.where("rec IS NOT NULL"))
+
+    def inner(value: Column) -> Column:
+        schema = F.schema_of_variant(value)
+        return F.when(schema.startswith("OBJECT<") & (schema != "OBJECT<>"), value)
+
+    # What has been opened once and is a leaf isn't looked at again.
+    at = spark.sql("SELECT r.ordinal, CASE WHEN e.key IS NULL THEN CAST(array() AS array<string>) ELSE array(e.key) END AS path, e.value, e.key IS NOT NULL AS fresh FROM {r} r, LATERAL variant_explode_outer(r.rec) e", r=records.where("rec IS NOT NULL"))
     for _ in range(levels - 1):
-        marked = at.withColumn("inner", F.when(opens(F.col("value")), F.col("value")))
-        at = spark.sql("SELECT r.ordinal, CASE WHEN e.key IS NULL THEN r.path ELSE concat(r.path, array(e.key)) END AS path, CASE WHEN e.key IS NULL THEN r.value ELSE e.value END AS value FROM {r} r, LATERAL variant_explode_outer(r.inner) e", r=marked)
-    return at
+        marked = at.withColumn("inner", F.when(F.col("fresh"), inner(F.col("value"))))
+        at = spark.sql("SELECT r.ordinal, CASE WHEN e.key IS NULL THEN r.path ELSE concat(r.path, array(e.key)) END AS path, CASE WHEN e.key IS NULL THEN r.value ELSE e.value END AS value, e.key IS NOT NULL AS fresh FROM {r} r, LATERAL variant_explode_outer(r.inner) e", r=marked)
+    return at.drop("fresh")
 
 
 def leaves_only(flat: DataFrame) -> DataFrame:
@@ -59,12 +66,12 @@ def schemas(flat: DataFrame) -> DataFrame:
 def registry(per_record: DataFrame) -> DataFrame:
     """schema_id (by first appearance), paths, n of each distinct schema."""
     seen = per_record.groupBy("paths").agg(F.min("ordinal").alias("_first"), F.count("*").alias("n"))
-    return numbered(seen, "_first", "schema_id").select("schema_id", "paths", "n")
+    return numbered(materialize(seen), "_first", "schema_id").select("schema_id", "paths", "n")
 
 
 def global_paths(flat: DataFrame) -> DataFrame:
     """path_id and path: the sorted union of all paths."""
-    return numbered(leaves_only(flat).select("path").distinct(), "path", "path_id").select("path_id", "path")
+    return numbered(materialize(leaves_only(flat).select("path").distinct()), "path", "path_id").select("path_id", "path")
 
 
 def record_keys(records: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import encodings as E
 from ..operators import records as R
 from ..operators import sequences as Q
+from ..operators.stored import materialize
 from ..sources import formats as X
 from ..sources import text as T
 
@@ -171,7 +172,13 @@ def event_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit(',"type":"'), F.col("event_type"), F.lit('"'), F.when(e % 7 == 0, ',"note":null').otherwise(""), F.lit(',"props":'), F.col("props"), F.lit(',"mix":'), mixed,
         F.when(e % 5 == 0, F.concat(F.lit(',"tags":["a",'), (e % 3).cast("string"), F.lit("]"))).otherwise(""), F.lit("}"),
     )
-    return R.parse(table(spark, d, "events").select("event_id", F.when(e % 17 == 16, "{}").otherwise(text).alias("t")), "event_id", "t")
+    # Dealt by record, as a small file is read by few tasks; a record's leaves stay where it is.
+    return R.parse(table(spark, d, "events").repartition("event_id").select("event_id", F.when(e % 17 == 16, "{}").otherwise(text).alias("t")), "event_id", "t")
+
+
+def _flat_twice(spark, d):
+    """The leaves, written as they are read more than once."""
+    return materialize(_flat(spark, d))
 
 
 def _flat(spark, d):
@@ -203,7 +210,7 @@ def _schema_text():
 
 @query
 def schema_ids(spark, d):
-    per = R.schemas(_flat(spark, d))
+    per = materialize(R.schemas(_flat(spark, d)))
     ids = R.registry(per).drop("n")
     return per.join(ids, "paths").select("ordinal", "schema_id")
 
@@ -218,20 +225,19 @@ def column_positions(spark, d):
     return R.columns(_flat(spark, d), Q.CHUNK).select("chunk", F.array_join("path", "/").alias("path"), "pos", "ordinal")
 
 
-def _rebuilt(spark, d):
-    flat = _flat(spark, d)
+def _rebuilt(flat):
     return R.rebuild(R.schemas(flat), R.columns(flat, Q.CHUNK).drop("ordinal"), Q.CHUNK)
 
 
 @query
 def reconstruct(spark, d):
-    return _shown(_rebuilt(spark, d))
+    return _shown(_rebuilt(_flat_twice(spark, d)))
 
 
 @query
 def nest_records(spark, d):
     """Whole records again from their columns."""
-    return R.nest(_rebuilt(spark, d)).select("ordinal", F.to_json("rec").alias("canonical"))
+    return R.nest(_rebuilt(_flat_twice(spark, d))).select("ordinal", F.to_json("rec").alias("canonical"))
 
 
 @query
@@ -249,8 +255,9 @@ def class_totals(spark, d):
 @query
 def roundtrip_diff(spark, d):
     """Leaves that differ after columnising and rebuilding, with every tenth value's last digit dropped on the way."""
-    leaves = _shown(_flat(spark, d))
-    other = _shown(_rebuilt(spark, d)).withColumn("value", F.when((F.col("ordinal") % 10 == 0) & (F.col("path") == "id"), F.concat("value", F.lit("0"))).otherwise(F.col("value")))
+    flat = _flat_twice(spark, d)
+    leaves = _shown(flat)
+    other = _shown(_rebuilt(flat)).withColumn("value", F.when((F.col("ordinal") % 10 == 0) & (F.col("path") == "id"), F.concat("value", F.lit("0"))).otherwise(F.col("value")))
     both = leaves.alias("a").join(other.alias("b"), (F.col("a.ordinal") == F.col("b.ordinal")) & (F.col("a.path") == F.col("b.path")), "full")
     return both.where(~F.col("a.value").eqNullSafe(F.col("b.value"))).select(F.coalesce("a.ordinal", "b.ordinal").alias("ordinal"), F.coalesce("a.path", "b.path").alias("path"))
 
@@ -314,7 +321,7 @@ def human_bytes(spark, d):
 @query
 def schema_seq_cost(spark, d):
     """Bytes of each chunk's schema ids, bit-packed and as runs, and the cheaper of the two."""
-    return _schema_seq(R.schemas(_flat(spark, d)))
+    return _schema_seq(materialize(R.schemas(_flat(spark, d))))
 
 
 def _schema_seq(per):
@@ -341,8 +348,9 @@ def copy_escape(spark, d):
 def encode_roundtrip(spark, d):
     """Cells that differ after the events' cells have become rows and cells again."""
     events = table(spark, d, "events")
-    cells = E.long_frame(events, "event_id")
-    return E.differences(cells, E.long_frame(E.wide_frame(cells, events.schema).drop("chunk", "pos"), "event_id"))
+    cells = materialize(E.long_frame(events, "event_id"))
+    rows = materialize(E.wide_frame(cells, events.schema).drop("chunk", "pos"))
+    return E.differences(cells, E.long_frame(rows, "event_id"))
 
 
 @query
@@ -380,8 +388,8 @@ def analysis_report(spark, d):
     """One row on the events' records: how many, their schemas and fields, bytes as canonical JSON, as columns and as schema
     ids, the encodings chosen, and whether the records came back equal."""
     records = event_records(spark, d)
-    flat = R.flatten(records)
-    per, cols = R.schemas(flat), R.columns(flat, Q.CHUNK)
+    flat = materialize(R.flatten(records))
+    per, cols = materialize(R.schemas(flat)), R.columns(flat, Q.CHUNK)
     best = E.choose(E.candidates(E.statistics(E.leaf_cells(cols))))
     encs = best.groupBy("enc").agg(F.count("*").alias("c")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "enc", F.col("c").cast("string")))), ",").alias("encodings"))
     columns = best.agg(F.count_distinct("path").alias("fields"), F.sum("cost").alias("column_bytes"), F.sum("meta").alias("meta_bytes"))

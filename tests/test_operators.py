@@ -179,3 +179,17 @@ def test_constants_of_all_kinds(spark):
     df = spark.createDataFrame([(k, 1.5, [1, 2], None, True, 0.5 * k, [k]) for k in range(9)], "k long, f double, a array<int>, e string, o boolean, g double, h array<int>")
     found = {r.path for r in E.candidates(E.statistics(E.long_frame(df, "k"))).where("enc = 'const'").collect()}
     assert found == {"f", "a", "e", "o"}
+
+
+def test_texts_that_are_no_objects_give_null_records(spark):
+    texts = [' \t{"a":1}', "{}", '\n{"a":', '"{"', "[{}]", " 1", "null", "", None, "{oops}", '{"a":1} ']
+    got = R.parse(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t").select("ordinal", F.to_json("rec").alias("t")).orderBy("ordinal").collect()
+    assert [r.t for r in got] == ['{"a":1}', "{}", None, None, None, None, None, None, None, None, '{"a":1}']
+
+
+@pytest.mark.parametrize("name", ["schema_ids", "schema_counts", "schema_seq_cost", "reconstruct", "nest_records", "roundtrip_diff"])
+def test_records_used_twice_are_not_parsed_again(spark, name):
+    from tessella.plans.queries import FOUND
+
+    plan = FOUND[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "parse_json" not in plan and "variant_explode" not in plan
